@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, iso_media
+from . import exact_dedup, iso_media, packing
 
-MODULES = (iso_media, exact_dedup)
+MODULES = (iso_media, exact_dedup, packing)
 
 
 def queries() -> dict:
