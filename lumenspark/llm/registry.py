@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, iso_media, packing
+from . import exact_dedup, iso_media, packing, quality
 
-MODULES = (iso_media, exact_dedup, packing)
+MODULES = (quality, iso_media, exact_dedup, packing)
 
 
 def queries() -> dict:
