@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, iso_media, packing, quality
+from . import exact_dedup, iso_media, packing, pii, quality
 
-MODULES = (quality, iso_media, exact_dedup, packing)
+MODULES = (quality, iso_media, exact_dedup, packing, pii)
 
 
 def queries() -> dict:
