@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, iso_media, ngram_join, packing, pii, quality
+from . import exact_dedup, iso_media, lm_scoring, ngram_join, packing, pii, quality
 
-MODULES = (quality, iso_media, exact_dedup, packing, ngram_join, pii)
+MODULES = (quality, iso_media, exact_dedup, lm_scoring, packing, ngram_join, pii)
 
 
 def queries() -> dict:
