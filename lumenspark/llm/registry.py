@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, iso_media, lm_scoring, ngram_join, packing, pii, quality
+from . import chat_format, exact_dedup, iso_media, lm_scoring, ngram_join, packing, pii, quality, sentence_pieces
 
-MODULES = (quality, iso_media, exact_dedup, lm_scoring, packing, ngram_join, pii)
+MODULES = (quality, iso_media, exact_dedup, lm_scoring, packing, ngram_join, sentence_pieces, pii, chat_format)
 
 
 def queries() -> dict:
