@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import sensitive
+from .functions import geocues, payload
+from .operators import sensitive, similarity
 
-MODULES = (sensitive,)
+MODULES = (sensitive, payload, geocues, similarity)
 
 
 def queries() -> dict:
