@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .functions import geocues, payload
-from .operators import sensitive, similarity
+from .operators import sensitive, similarity, statistics, store
 
-MODULES = (sensitive, payload, geocues, similarity)
+MODULES = (sensitive, payload, geocues, similarity, store, statistics)
 
 
 def queries() -> dict:
