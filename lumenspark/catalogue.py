@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .functions import geocues, payload
-from .operators import sensitive, similarity, statistics, store
+from .plans import planner
+from .operators import rules, sensitive, similarity, statistics, store
 
-MODULES = (sensitive, payload, geocues, similarity, store, statistics)
+MODULES = (sensitive, payload, geocues, similarity, store, statistics, planner, rules)
 
 
 def queries() -> dict:
