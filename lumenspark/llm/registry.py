@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, iso_media, lm_scoring, ngram_join, packing, pii, quality, sentence_pieces
+from . import chat_format, exact_dedup, iso_media, line_dedup, lm_scoring, ngram_join, packing, pii, quality, sentence_pieces
 
-MODULES = (quality, iso_media, exact_dedup, lm_scoring, packing, ngram_join, sentence_pieces, pii, chat_format)
+MODULES = (quality, iso_media, exact_dedup, lm_scoring, packing, line_dedup, ngram_join, sentence_pieces, pii, chat_format)
 
 
 def queries() -> dict:
