@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from .functions import geocues, payload
 from .plans import planner
-from .operators import rules, sensitive, similarity, statistics, store
+from .operators import detection, report, rules, sensitive, similarity, statistics, store
 
-MODULES = (sensitive, payload, geocues, similarity, store, statistics, planner, rules)
+MODULES = (sensitive, payload, geocues, similarity, store, statistics, planner, rules, detection, report)
 
 
 def queries() -> dict:
