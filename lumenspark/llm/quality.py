@@ -201,7 +201,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def udf(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens, m = Tokens(), shared.value
         for s in frames:
-            yield pd.Series(m.scores(np.stack([m.pool(tokens(x or "")) for x in s])) if len(s) else np.zeros(0))
+            # A row at a time: sums in a matrix product depend on the batch, and equal texts score alike.
+            yield pd.Series([float(m.scores(m.pool(tokens(x or ""))[None, :])[0]) for x in s], dtype="float64")
 
     out = docs.withColumn("score", udf(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
