@@ -112,7 +112,7 @@ def entity_scores(queries: DataFrame, refs: DataFrame, blocks: int = 32) -> Data
     if size <= BROADCAST_BYTES:
         pairs = q.withColumn("k", F.lit(0)).join(F.broadcast(r.withColumn("k", F.lit(0))), "k")
     else:
-        n = max(blocks, int(size // BROADCAST_BYTES) * 4)
+        n = max(blocks, min(4096, int(size // max(1, BROADCAST_BYTES)) * 4))
         left = q.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         pairs = left.join(r.withColumn("k", F.pmod(F.xxhash64("ref_id"), F.lit(n)).cast("int")), "k")
     best = F.max(F.struct(match.alias("similarity"), F.col("ref_id")))
