@@ -6,9 +6,9 @@ from .functions import geocues, payload
 from .plans import planner
 from .sources import images
 from .streaming import incremental
-from .operators import detection, report, rules, sensitive, similarity, statistics, store
+from .operators import detection, findings, report, rules, sensitive, similarity, statistics, store
 
-MODULES = (sensitive, payload, geocues, similarity, store, statistics, planner, rules, detection, report, images, incremental)
+MODULES = (sensitive, payload, geocues, similarity, store, statistics, planner, rules, detection, report, images, incremental, findings)
 
 
 def queries() -> dict:
