@@ -2,9 +2,11 @@
 
 Every distinct shingle set gets a sketch of min-hashes, the tokens of the chosen-path tree. A node
 samples one coordinate, or two with probability 1/4 (1 / 0.8 on average), and sends each set to the
-child of its token there, so two sets at the threshold keep meeting in one child on average. Buckets
-of at most LEAF sets are brute-forced on sketches; larger ones split again. Runs repeat, for the sets
-whose leaves lay deep, until a pair at the threshold is met with the target probability. Candidate
+child of its token there, so two sets at the threshold keep meeting in one child on average. Nodes
+of more than LEAF sets split again; smaller buckets are brute-forced on sketches, one matrix
+comparison each, of which only a number of links linear in the bucket's size goes on: every set's
+best partners and a maximum spanning forest. Runs repeat, for the sets whose leaves lay deep, until
+a pair at the threshold is met with the target probability. Candidate
 links are verified on whole shingle sets; classes are connected components, and link counts are
 computed exactly within classes, block by block.
 """
@@ -23,8 +25,8 @@ from .common import cut, key_bitmap, read, remove_keys, with_membership
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Min-hashes of a sketch, sets of a leaf, runs of a round, depth at which a bucket is taken apart by pivots.
-COORDS, LEAF, RUNS, DEEPEST = 64, 64, 6, 28
+#: Min-hashes of a sketch, sets of a leaf, runs of a round, depth at which a node is taken apart by pivots.
+COORDS, LEAF, RUNS, DEEPEST = 64, 1024, 6, 24
 #: Probability to meet a pair at the threshold, sketch similarity under which it is no candidate, sets of a block.
 RECALL, SKETCH_FLOOR, BLOCK = 0.98, 0.65, 48
 
@@ -103,33 +105,44 @@ def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
+def agreements(x: np.ndarray) -> np.ndarray:
+    """In how many coordinates every two sketches agree."""
+    out = np.zeros((len(x), len(x)), np.uint8)
+    for c in range(x.shape[1]):
+        out += x[:, c, None] == x[None, :, c]
+    return out
+
+
 def links_of(x: np.ndarray, floor: float = SKETCH_FLOOR, best: int = 3) -> list[tuple[int, int]]:
-    """Candidate links of a leaf, linear in its size: a maximum spanning forest and each set's best partners."""
-    n = len(x)
+    """Candidate links of a leaf, linear in its size: each set's best partners and a maximum spanning forest."""
+    n, least = len(x), int(np.ceil(floor * x.shape[1]))
     if n == 2:
-        return [(0, 1)] if (x[0] == x[1]).mean() >= floor else []
-    sims = (x[:, None, :] == x[None, :, :]).mean(axis=2)
+        return [(0, 1)] if (x[0] == x[1]).sum() >= least else []
+    sims = agreements(x)
     np.fill_diagonal(sims, 0)
+    rows = np.flatnonzero(sims.max(axis=1) >= least)
+    if not len(rows):
+        return []
+    sims = sims[np.ix_(rows, rows)]
     out = set()
-    for i in np.flatnonzero(sims.max(axis=1) >= floor).tolist():
-        for j in np.argsort(-sims[i], kind="stable")[:best].tolist():
-            if sims[i, j] >= floor:
-                out.add((min(i, j), max(i, j)))
-    a, b = np.nonzero(np.triu(sims >= floor, 1))
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k in np.argsort(-sims[a, b], kind="stable").tolist():
-        p, q = root(int(a[k])), root(int(b[k]))
-        if p != q:
-            parent[p] = q
-            out.add((int(a[k]), int(b[k])))
-    return sorted(out)
+    for _ in range(min(best, len(rows) - 1)):
+        top = sims.argmax(axis=1)
+        ok = np.flatnonzero(sims[np.arange(len(rows)), top] >= least)
+        out.update((min(i, j), max(i, j)) for i, j in zip(ok.tolist(), top[ok].tolist(), strict=True))
+        if _ == 0:
+            full = sims.copy()
+        sims[np.arange(len(rows)), top] = 0
+    # Prim's tree: join the set most similar to those joined; a jump below the floor starts a new tree.
+    reach, via, left = full[0].astype(np.int16), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+    left[0] = False
+    while left.any():
+        j = int(np.where(left, reach, -1).argmax())
+        if reach[j] >= least:
+            out.add((min(int(via[j]), j), max(int(via[j]), j)))
+        left[j] = False
+        closer = full[j] > reach
+        reach[closer], via[closer] = full[j][closer], j
+    return sorted((int(rows[i]), int(rows[j])) for i, j in out)
 
 
 def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,31 +182,32 @@ def _children(path: Column, mh: Column) -> Column:
 def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> DataFrame:
     """Candidate links (a, b) between rows (digest, mh) of distinct sets, by repeated chosen-path runs."""
     active, runs, found = sets, 0, []
-    while True:
+    while active is not None:
         roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {runs + r}")) for r in range(RUNS)))).alias("root")
-        rows = active.select("digest", "mh", roots).select("digest", _children(F.col("root"), F.col("mh")))  # the sketch joins again where it is needed
+        # The first rows travel without their sketch: most have no company and end here.
+        rows = active.select("digest", "mh", roots).select("digest", _children(F.col("root"), F.col("mh")))
         runs += RUNS
-        depth, deep = 1, None
+        depth, active, nodes = 1, None, []
         enough = next(d for d in range(1, 10_000) if 1 - (1 - survival(d)) ** runs < recall)
         while True:
             sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path-sizes")
             alive = rows.join(sizes, "path")
-            alive = cut(alive.join(sets.select("digest", "mh"), "digest") if "mh" not in rows.columns else alive, "path-rows")
-            small = alive.where(F.col("n") <= leaf).select("path", "digest", "mh")
-            found.append(cut(small.repartition("path").sortWithinPartitions("path").mapInPandas(_leaves, "a binary, b binary"), "links"))
-            big = alive.where(F.col("n") > leaf)
-            if big.isEmpty():
+            alive = cut(alive.join(sets.select("digest", "mh"), "digest") if depth == 1 else alive, "path-rows")
+            nodes.append(alive.where(F.col("n") <= leaf).select("path", "digest", "mh"))
+            if sizes.where(F.col("n") > leaf).isEmpty():
                 break
+            big = alive.where(F.col("n") > leaf)
             depth += 1
             if depth == enough:
-                deep = big.select("digest").distinct()
+                active = cut(sets.join(big.select("digest").distinct(), "digest", "left_semi"), "deep")
             if depth > deepest:
-                found.append(cut(_taken_apart(big, leaf).repartition("path").sortWithinPartitions("path").mapInPandas(_leaves, "a binary, b binary"), "links"))
+                nodes.append(_taken_apart(big, leaf))
                 break
             rows = big.select("digest", "mh", _children(F.col("path"), F.col("mh")))
-        if deep is None:
-            break
-        active = cut(sets.join(deep, "digest", "left_semi"), "deep")
+        every = nodes[0]
+        for n in nodes[1:]:
+            every = every.unionByName(n)
+        found.append(every.repartition("path").sortWithinPartitions("path").mapInPandas(_leaves, "a binary, b binary"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
