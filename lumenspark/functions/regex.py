@@ -28,8 +28,12 @@ def find_spans(text: Column, pattern: str) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
-    both = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_MATCH})").alias("out")), step)["out"]
+    def located(x: Column) -> Column:
+        both = F.zip_with(x["hits"], F.slice(x["gaps"], 1, F.size(x["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_MATCH})").alias("out")), step)["out"]
+
+    # One element, so that the lambda variable holds what would else be evaluated at every use.
+    return F.get(F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), located), 0)
 
 
 def context(text: Column, start: Column, end: Column, window: int = 24) -> Column:

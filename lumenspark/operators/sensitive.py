@@ -70,9 +70,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrays = [F.filter(F.transform(p[0], _hit(order, p)), _keeps(p[0])) for order, p in enumerate(PATTERNS)]
     phone = F.transform("phone", _hit(len(PATTERNS), ("phone", "Phone number", PHONE, "medium", 0.6, "Matched by keyword")))
     arrays.append(F.filter(phone, lambda h: F.length(checks.digits(h["value"])) >= 7))
-    hits = found.select("id", "text", F.concat(*arrays).alias("hits")).where(F.size("hits") > 0)
-    first = F.filter("hits", lambda h, i: F.array_position(F.transform("hits", lambda x: F.struct(x["type"], x["value"])), F.struct(h["type"], h["value"])) == i + 1)
-    out = hits.select("id", "text", F.posexplode(first).alias("position", "h"))
+    hits = found.select("id", "text", F.concat(*arrays).alias("hits"))
+    seen = lambda x: F.filter(x["hits"], lambda h, i: F.array_position(x["keys"], F.struct(h["type"], h["value"])) == i + 1)
+    keyed = F.struct(F.col("hits").alias("hits"), F.transform("hits", lambda x: F.struct(x["type"], x["value"])).alias("keys"))
+    first = F.get(F.transform(F.array(keyed), seen), 0)
+    # The outer form keeps Catalyst from pushing a second evaluation of the arrays below it.
+    out = hits.select("id", "text", F.posexplode_outer(first).alias("position", "h")).where("h is not null")
     h = lambda n: F.col(f"h.{n}")
     return out.select("id", h("type"), h("label"), h("value"), checks.mask(h("value"), h("type")).alias("masked"), h("severity"), h("confidence"), h("detail"), F.when(h("type") == "credit_card", checks.card_brand(h("value"))).alias("brand"), context(F.col("text"), h("start"), h("end")).alias("context"), "position")
 
