@@ -29,7 +29,9 @@ from .quality import fold
 #: Bits of the whole filter at most, bits per entry, hash functions, base of the count levels.
 FILTER_BITS, BITS_PER_ENTRY, HASHES, BASE = 1 << 30, 10, 3, 1.6
 #: Words whose exact counts are broadcast at most (12 bytes each), and tokens counted at once.
-FREQUENT, CHUNK = 1 << 20, 2_000_000
+FREQUENT, CHUNK = 1 << 20, 1_000_000
+#: Documents of a partition whose answers are summed together, as a power of two.
+BLOCK_BITS = 12
 #: Weight of the word model against a context's count.
 BACKOFF = 4.0
 
@@ -53,7 +55,7 @@ def pairs(tokens: np.ndarray) -> np.ndarray:
 class Words:
     """text -> hashes of its A-Z-lower-cased words, then the end token."""
 
-    def __init__(self, most: int = 250_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         self.most, self.seen = most, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -268,16 +270,30 @@ def _scorer(shared):
     return run
 
 
+_ANSWER = "block long, rids binary, known binary, logs binary"
+
+
 def _answer(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """The asked words' exact counts, summed by document; a row for every block of documents."""
+    columns = ["block", "rids", "known", "logs"]
     if not len(asks) or not len(table):
-        return pd.DataFrame({"rid": np.zeros(0, np.int64), "known": np.zeros(0, np.int64), "logs": np.zeros(0)})
+        return pd.DataFrame(columns=columns)
     keys, counts = np.frombuffer(table["keys"].iloc[0], np.uint64), np.frombuffer(table["counts"].iloc[0], np.int64)
     want = np.concatenate([np.frombuffer(x, np.uint64) for x in asks["keys"]])
     rows = np.concatenate([np.frombuffer(x, np.int64) for x in asks["rows"]])
     place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
     hit = keys[place] == want
     rid, where = np.unique(rows[hit], return_inverse=True)
-    return pd.DataFrame({"rid": rid, "known": np.bincount(where, minlength=len(rid)), "logs": np.bincount(where, np.log10(counts[place[hit]] + 1.0), len(rid))})
+    known, logs = np.bincount(where, minlength=len(rid)), np.bincount(where, np.log10(counts[place[hit]] + 1.0), len(rid))
+    at = np.flatnonzero(np.diff(rid >> BLOCK_BITS, prepend=-1))
+    out = [(int(rid[a] >> BLOCK_BITS), rid[a:b].tobytes(), known[a:b].astype(np.int64).tobytes(), logs[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(rid)], strict=False)]
+    return pd.DataFrame(out, columns=columns)
+
+
+def _sum_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
+    rid, where = np.unique(join("rids", np.int64), return_inverse=True)
+    return pd.DataFrame({"rid": rid, "more_known": np.bincount(where, join("known", np.int64), len(rid)).astype(np.int64), "more_logs": np.bincount(where, join("logs", np.float64), len(rid))})
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +308,8 @@ def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     scored = cut(src.mapInPandas(_scorer(shared), _SCORED), "lm-scored")
     asks = scored.where("seg is not null").select("seg", "keys", "rows")
-    more = asks.groupBy("seg").cogroup(table.groupBy("seg")).applyInPandas(_answer, "rid long, known long, logs double")
-    more = more.groupBy("rid").agg(F.sum("known").alias("more_known"), F.sum("logs").alias("more_logs"))
+    more = asks.groupBy("seg").cogroup(table.groupBy("seg")).applyInPandas(_answer, _ANSWER)
+    more = more.groupBy("block").applyInPandas(_sum_block, "rid long, more_known long, more_logs double")
     out = scored.where("rid is not null").drop("seg", "keys", "rows").join(more, "rid", "left")
     size = float(np.log10(model.tokens + model.kinds + 1))
     return out.select(
