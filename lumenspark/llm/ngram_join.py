@@ -4,11 +4,11 @@ Every distinct shingle set gets a sketch of min-hashes, the tokens of the chosen
 samples one coordinate, or two with probability 1/4 (1 / 0.8 on average), and sends each set to the
 child of its token there, so two sets at the threshold keep meeting in one child on average. Nodes
 of more than LEAF sets split again; smaller buckets are brute-forced on sketches, one matrix
-comparison each, of which only a number of links linear in the bucket's size goes on: every set's
-best partners and a maximum spanning forest. Runs repeat, for the sets whose leaves lay deep, until
-a pair at the threshold is met with the target probability. Candidate
-links are verified on whole shingle sets; classes are connected components, and link counts are
-computed exactly within classes, block by block.
+comparison each. Runs repeat, for the sets whose leaves lay deep, until a pair at the threshold is
+met with the target probability. Verification on whole shingle sets has two passes: first a number
+of links linear in the bucket's size, every set's best partners and a maximum spanning forest; then
+every other pair above the sketch floor whose sets are still in different classes, block by block.
+Classes are connected components, and link counts are computed exactly within classes.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 COORDS, LEAF, RUNS, DEEPEST = 64, 1024, 6, 24
 #: Probability to meet a pair at the threshold, sketch similarity under which it is no candidate, sets of a block.
 RECALL, SKETCH_FLOOR, BLOCK = 0.98, 0.65, 48
+#: Best partners of a set that the first pass verifies.
+BEST = 3
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(7)
@@ -105,20 +107,20 @@ def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def agreements(x: np.ndarray) -> np.ndarray:
-    """In how many coordinates every two sketches agree."""
-    out = np.zeros((len(x), len(x)), np.uint8)
+def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates every sketch of x agrees with every one of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
     for c in range(x.shape[1]):
-        out += x[:, c, None] == x[None, :, c]
+        out += x[:, c, None] == y[None, :, c]
     return out
 
 
-def links_of(x: np.ndarray, floor: float = SKETCH_FLOOR, best: int = 3) -> list[tuple[int, int]]:
-    """Candidate links of a leaf, linear in its size: each set's best partners and a maximum spanning forest."""
+def links_of(x: np.ndarray, floor: float = SKETCH_FLOOR, best: int = BEST) -> list[tuple[int, int]]:
+    """First candidate links of a leaf, linear in its size: each set's best partners and a maximum spanning forest."""
     n, least = len(x), int(np.ceil(floor * x.shape[1]))
     if n == 2:
         return [(0, 1)] if (x[0] == x[1]).sum() >= least else []
-    sims = agreements(x)
+    sims = agreements(x, x)
     np.fill_diagonal(sims, 0)
     rows = np.flatnonzero(sims.max(axis=1) >= least)
     if not len(rows):
@@ -163,6 +165,25 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b})
 
 
+def _remaining(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every pair of a leaf above the sketch floor whose sets have different labels, with its place in the leaf."""
+    least = int(np.ceil(SKETCH_FLOOR * COORDS))
+    for group in _grouped(frames, ["path"]):
+        label = pd.factorize(group["label"])[0]
+        most = np.bincount(label).argmax()
+        rest = np.flatnonzero(label != most)  # a pair of two labels has one of these
+        if not len(rest):
+            continue
+        x, names = np.stack(group["mh"].tolist()), group["digest"].to_numpy()
+        i, j = np.nonzero((agreements(x[rest], x) >= least) & (label[rest, None] != label))
+        i = rest[i]
+        once = (label[j] == most) | (i < j)
+        i, j = i[once], j[once]
+        turn = names[i] > names[j]
+        p, q = i // BLOCK, j // BLOCK
+        yield pd.DataFrame({"a": np.where(turn, names[j], names[i]), "b": np.where(turn, names[i], names[j]), "path": group["path"].iloc[0], "p": np.minimum(p, q), "q": np.maximum(p, q)})
+
+
 def survival(depth: int, j: float = THRESHOLD) -> float:
     """Probability that a pair of similarity j still shares a node after ``depth`` splits of one run."""
     q = 1.0
@@ -179,9 +200,12 @@ def _children(path: Column, mh: Column) -> Column:
     return F.explode(F.when(F.pmod(F.xxhash64(path, F.lit("fork")), F.lit(4)) == 0, F.array(one, two)).otherwise(F.array(one))).alias("path")
 
 
-def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> DataFrame:
-    """Candidate links (a, b) between rows (digest, mh) of distinct sets, by repeated chosen-path runs."""
-    active, runs, found = sets, 0, []
+def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    """First candidate links (a, b) between rows (digest, mh) of distinct sets, by repeated chosen-path runs.
+
+    With them the leaves (path, digest, mh) that may hold further pairs.
+    """
+    active, runs, found, leaves = sets, 0, [], []
     while active is not None:
         roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {runs + r}")) for r in range(RUNS)))).alias("root")
         # The first rows travel without their sketch: most have no company and end here.
@@ -194,6 +218,7 @@ def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, d
             alive = rows.join(sizes, "path")
             alive = cut(alive.join(sets.select("digest", "mh"), "digest") if depth == 1 else alive, "path-rows")
             nodes.append(alive.where(F.col("n") <= leaf).select("path", "digest", "mh"))
+            leaves.append(alive.where((F.col("n") <= leaf) & (F.col("n") > BEST + 1)).select("path", "digest", "mh"))
             if sizes.where(F.col("n") > leaf).isEmpty():
                 break
             big = alive.where(F.col("n") > leaf)
@@ -201,17 +226,32 @@ def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, d
             if depth == enough:
                 active = cut(sets.join(big.select("digest").distinct(), "digest", "left_semi"), "deep")
             if depth > deepest:
-                nodes.append(_taken_apart(big, leaf))
+                apart = _taken_apart(big, leaf)
+                nodes.append(apart)
+                leaves.append(apart.distinct())
                 break
             rows = big.select("digest", "mh", _children(F.col("path"), F.col("mh")))
         every = nodes[0]
         for n in nodes[1:]:
             every = every.unionByName(n)
         found.append(every.repartition("path").sortWithinPartitions("path").mapInPandas(_leaves, "a binary, b binary"))
-    out = found[0]
+    out, open_leaves = found[0], leaves[0]
     for f in found[1:]:
         out = out.union(f)
-    return out.distinct()
+    for f in leaves[1:]:
+        open_leaves = open_leaves.union(f)
+    return out.distinct(), open_leaves
+
+
+def remaining_blocks(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, digest): the sets to compare with each other so that no pair of a leaf above the floor is left out.
+
+    Only pairs of different labels are left; a set without a label is its own class.
+    """
+    named = leaves.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    pairs = named.repartition("path").sortWithinPartitions("path").mapInPandas(_remaining, "a binary, b binary, path long, p long, q long")
+    once = pairs.groupBy("a", "b").agg(F.min(F.struct("path", "p", "q")).alias("at"))
+    return once.select(F.xxhash64("at.path", "at.p", "at.q").alias("block"), F.explode(F.array("a", "b")).alias("digest")).distinct()
 
 
 def _taken_apart(big: DataFrame, leaf: int) -> DataFrame:
@@ -253,14 +293,25 @@ def overlaps(sets: list[np.ndarray], width: int = 16_384) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def _linked(sets: list[np.ndarray]) -> np.ndarray:
+    size, both = np.array([len(s) for s in sets]), overlaps(sets)
+    linked = (both > 0) & (5 * both >= 4 * (size[:, None] + size[None, :] - both))
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _verify_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for g in _grouped(frames, ["block"]):
+        i, j = np.nonzero(np.triu(_linked([np.frombuffer(x, "<u8") for x in g["sh"]])))
+        names = g["digest"].to_numpy()
+        yield pd.DataFrame({"a": names[i], "b": names[j]})
+
+
 def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names, counts = [], []
     for g in _grouped(frames, ["block"]):
         sets = [np.frombuffer(x, "<u8") for x in g["sh"]]
-        size, own, copies = np.array([len(s) for s in sets]), g["own"].to_numpy(), g["copies"].to_numpy()
-        both = overlaps(sets)
-        linked = (both > 0) & (5 * both >= 4 * (size[:, None] + size[None, :] - both))
-        np.fill_diagonal(linked, False)
+        own, copies, linked = g["own"].to_numpy(), g["copies"].to_numpy(), _linked(sets)
         if own.min() != own.max():  # two blocks meet: only pairs across them are new
             linked &= own[:, None] != own[None, :]
         elif g["cross"].iloc[0]:
@@ -287,7 +338,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids_as_text = src.withColumn("id", F.col("id").cast("string"))
     rows = cut(ids_as_text.mapInPandas(_sketches, "id string, th long, digest binary, mh array<int>").withColumn("id", F.col("id").cast("long")), "sketches")
     kinds = cut(rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("th").alias("th"), F.first("mh").alias("mh")), "sets")
-    links = cut(candidate_links(kinds.select("digest", "mh")), "candidates")
+    links, leaves = candidate_links(kinds.select("digest", "mh"))
+    links = cut(links, "candidates")
 
     nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     wanted = cut(kinds.select("digest", "th", "copies").join(nodes, "digest"), "wanted")
@@ -298,6 +350,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     true = cut(links.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a binary, b binary"), "true-links")
 
     labels = components(true)
+    blocks = remaining_blocks(leaves, labels).join(shingles, "digest").select("block", "digest", "sh")
+    more = cut(blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_verify_blocks, "a binary, b binary"), "more-links")
+    if not more.isEmpty():
+        labels = components(true.union(more))
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = cut(labels.join(sizes, "label").select(F.col("node").alias("digest"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "members")
     meet = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -47,6 +48,38 @@ def _shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def _brute_force(rows):
+    """id -> (class_id, n_links), for distinct ids without nulls."""
+    sets = [(i, _shingles(t)) for i, t in rows]
+    label, degree = {i: i for i, _ in sets}, {i: 0 for i, _ in sets}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                degree[i] += 1
+                degree[j] += 1
+                low, high = sorted((label[i], label[j]))
+                if low != high:
+                    label = {k: low if v == high else v for k, v in label.items()}
+    return {i: (label[i], degree[i]) for i, _ in sets}
+
+
+def _edited(base, edits, rng, tag):
+    words = list(base)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"{tag}_{at}"
+    return words
+
+
+def test_ngram_join_of_a_group_around_the_threshold(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(_edited(base, 3, rng, f"x{k}"))) for k in range(300)]
+    want = _brute_force(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(make(spark, rows)).collect()}
+    wrong = [(i, got[i], want[i]) for i in want if got[i] != want[i]]
+    assert not wrong, (len(wrong), len(want), wrong[:5])
+
+
 def test_ngram_join_matches_brute_force(spark, corpus):
     got = ngram_join.ngram_join(make(spark, corpus)).collect()
     sets = [(i, _shingles(t)) for i, t in corpus]
