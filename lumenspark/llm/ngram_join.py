@@ -166,22 +166,54 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _remaining(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every pair of a leaf above the sketch floor whose sets have different labels, with its place in the leaf."""
-    least = int(np.ceil(SKETCH_FLOOR * COORDS))
+    """The sets of every pair of a leaf above the sketch floor whose labels differ, in blocks to compare.
+
+    Sets that such pairs connect share a block; more than two BLOCKs of them are dealt into blocks that
+    meet where a pair lies. A block is named after its sets, so that runs that find it again repeat its rows.
+    """
+    least, rows = int(np.ceil(SKETCH_FLOOR * COORDS)), []
+    columns = ["block", "digest", "label"]
+
+    def add(which: np.ndarray, names: np.ndarray, labels: np.ndarray) -> None:
+        block = xxhash.xxh3_64_intdigest(b"".join(names[which])) - (1 << 63)
+        rows.extend((block, names[k], labels[k]) for k in which)
+
     for group in _grouped(frames, ["path"]):
-        label = pd.factorize(group["label"])[0]
+        group = group.sort_values("digest")
+        names, labels = group["digest"].to_numpy(), group["label"].to_numpy()
+        label = pd.factorize(labels)[0]
         most = np.bincount(label).argmax()
         rest = np.flatnonzero(label != most)  # a pair of two labels has one of these
         if not len(rest):
             continue
-        x, names = np.stack(group["mh"].tolist()), group["digest"].to_numpy()
+        x = np.stack(group["mh"].tolist())
         i, j = np.nonzero((agreements(x[rest], x) >= least) & (label[rest, None] != label))
+        if not len(i):
+            continue
         i = rest[i]
-        once = (label[j] == most) | (i < j)
-        i, j = i[once], j[once]
-        turn = names[i] > names[j]
-        p, q = i // BLOCK, j // BLOCK
-        yield pd.DataFrame({"a": np.where(turn, names[j], names[i]), "b": np.where(turn, names[i], names[j]), "path": group["path"].iloc[0], "p": np.minimum(p, q), "q": np.maximum(p, q)})
+        part, was = np.arange(len(x)), None
+        while was is None or (part != was).any():
+            was = part.copy()
+            np.minimum.at(part, i, was[j])
+            np.minimum.at(part, j, was[i])
+            part = part[part]
+        order = np.argsort(part[i], kind="stable")
+        i, j = i[order], j[order]
+        starts = np.flatnonzero(np.diff(part[i], prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
+            u, v = i[a:b], j[a:b]
+            inside = np.unique(np.concatenate([u, v]))
+            if len(inside) <= 2 * BLOCK:
+                add(inside, names, labels)
+                continue
+            p, q = np.searchsorted(inside, u) // BLOCK, np.searchsorted(inside, v) // BLOCK
+            at = np.minimum(p, q) * len(x) + np.maximum(p, q)
+            for meet in np.unique(at):
+                add(np.unique(np.concatenate([u[at == meet], v[at == meet]])), names, labels)
+        if len(rows) > 20_000:
+            yield pd.DataFrame(rows, columns=columns)
+            rows.clear()
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def survival(depth: int, j: float = THRESHOLD) -> float:
@@ -200,12 +232,13 @@ def _children(path: Column, mh: Column) -> Column:
     return F.explode(F.when(F.pmod(F.xxhash64(path, F.lit("fork")), F.lit(4)) == 0, F.array(one, two)).otherwise(F.array(one))).alias("path")
 
 
-def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """First candidate links (a, b) between rows (digest, mh) of distinct sets, by repeated chosen-path runs.
 
-    With them the leaves (path, digest, mh) that may hold further pairs.
+    With them the leaves (path, digest, mh) that may hold further pairs, and the buckets of the same
+    columns that no split made small enough, if there are any.
     """
-    active, runs, found, leaves = sets, 0, [], []
+    active, runs, found, leaves, deep = sets, 0, [], [], None
     while active is not None:
         roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {runs + r}")) for r in range(RUNS)))).alias("root")
         # The first rows travel without their sketch: most have no company and end here.
@@ -226,9 +259,9 @@ def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, d
             if depth == enough:
                 active = cut(sets.join(big.select("digest").distinct(), "digest", "left_semi"), "deep")
             if depth > deepest:
-                apart = _taken_apart(big, leaf)
-                nodes.append(apart)
-                leaves.append(apart.distinct())
+                nodes.append(_taken_apart(big, leaf))
+                big = big.select("path", "digest", "mh")
+                deep = big if deep is None else deep.union(big)
                 break
             rows = big.select("digest", "mh", _children(F.col("path"), F.col("mh")))
         every = nodes[0]
@@ -240,24 +273,46 @@ def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, d
         out = out.union(f)
     for f in leaves[1:]:
         open_leaves = open_leaves.union(f)
-    return out.distinct(), open_leaves
+    return out.distinct(), open_leaves, deep
+
+
+def _crossed(named: DataFrame, leaf: int) -> DataFrame:
+    """Buckets above ``leaf`` as leaves in which every two sets of different labels meet.
+
+    The sets of a bucket's commonest label need not meet each other: their blocks (numbered below
+    zero) meet the blocks of the other sets, and those meet one another.
+    """
+    named, half = cut(named, "deep-named"), max(1, leaf // 2)
+    sizes = named.groupBy("path", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("path").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
+    sizes = sizes.select("path", "most", F.ceil(F.col("top") / half).cast("long").alias("tops"), F.ceil((F.col("n") - F.col("top")) / half).cast("long").alias("rests"))
+    whole, h = named.join(sizes, "path"), F.xxhash64("digest")
+    top = F.col("label") == F.col("most")
+    others = F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)
+    meet = F.when(top, others).otherwise(F.concat(others, F.sequence(-F.col("tops"), F.lit(-1).cast("long"))))
+    whole = whole.withColumn("own", F.when(top, -1 - F.pmod(h, F.col("tops"))).otherwise(F.pmod(h, F.col("rests")))).withColumn("other", F.explode(meet))
+    return whole.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "digest", "mh", "label")
 
 
-def remaining_blocks(leaves: DataFrame, labels: DataFrame) -> DataFrame:
-    """(block, digest): the sets to compare with each other so that no pair of a leaf above the floor is left out.
+def remaining_blocks(leaves: DataFrame, deep: DataFrame | None, labels: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(block, digest, label): the sets to compare with each other so that no pair of a leaf or a deep bucket above the floor is left out.
 
     Only pairs of different labels are left; a set without a label is its own class.
     """
-    named = leaves.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    pairs = named.repartition("path").sortWithinPartitions("path").mapInPandas(_remaining, "a binary, b binary, path long, p long, q long")
-    once = pairs.groupBy("a", "b").agg(F.min(F.struct("path", "p", "q")).alias("at"))
-    return once.select(F.xxhash64("at.path", "at.p", "at.q").alias("block"), F.explode(F.array("a", "b")).alias("digest")).distinct()
+    label = labels.select(F.col("node").alias("digest"), "label")
+    with_label = lambda df: df.join(label, "digest", "left").select("path", "digest", "mh", F.coalesce("label", "digest").alias("label"))
+    named = with_label(leaves)
+    if deep is not None:
+        named = named.unionByName(_crossed(with_label(deep), leaf))
+    found = named.repartition("path").sortWithinPartitions("path").mapInPandas(_remaining, "block long, digest binary, label binary")
+    return found.distinct()
 
 
 def _taken_apart(big: DataFrame, leaf: int) -> DataFrame:
     """Sets that no sampled token tells apart: dealt into blocks, each joined by the bucket's two pivots.
 
     Linear in the bucket's size; members meet their block mates and, through the pivots, the rest.
+    For the first pass only: what it leaves unlinked meets in ``_crossed``.
     """
     pivots = big.groupBy("path").agg(F.min(F.struct("digest", "mh")).alias("low"), F.max(F.struct("digest", "mh")).alias("high"), F.max("n").alias("n"))
     blocks = lambda n: F.ceil(n / (leaf // 2)).cast("long")
@@ -301,10 +356,20 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a block that join its classes: a spanning forest of the links between different labels."""
+    a, b = [], []
     for g in _grouped(frames, ["block"]):
-        i, j = np.nonzero(np.triu(_linked([np.frombuffer(x, "<u8") for x in g["sh"]])))
-        names = g["digest"].to_numpy()
-        yield pd.DataFrame({"a": names[i], "b": names[j]})
+        label, names = pd.factorize(g["label"])[0], g["digest"].to_numpy()
+        linked = _linked([np.frombuffer(x, "<u8") for x in g["sh"]])
+        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+            if label[i] != label[j]:
+                a.append(names[i])
+                b.append(names[j])
+                label[label == label[j]] = label[i]
+        if len(a) > 20_000:
+            yield pd.DataFrame({"a": a, "b": b})
+            a, b = [], []
+    yield pd.DataFrame({"a": a, "b": b})
 
 
 def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,7 +389,7 @@ def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"digest": names, "links": counts})
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), n_links.
 
     Two documents are linked when their sets of lower-cased word 5-grams have Jaccard similarity 0.8
@@ -338,10 +403,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids_as_text = src.withColumn("id", F.col("id").cast("string"))
     rows = cut(ids_as_text.mapInPandas(_sketches, "id string, th long, digest binary, mh array<int>").withColumn("id", F.col("id").cast("long")), "sketches")
     kinds = cut(rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("th").alias("th"), F.first("mh").alias("mh")), "sets")
-    links, leaves = candidate_links(kinds.select("digest", "mh"))
+    links, leaves, deep = candidate_links(kinds.select("digest", "mh"), leaf, deepest=deepest)
     links = cut(links, "candidates")
 
-    nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    nodes = links.select(F.explode(F.array("a", "b")).alias("digest"))
+    nodes = (nodes if deep is None else nodes.union(deep.select("digest"))).distinct()
     wanted = cut(kinds.select("digest", "th", "copies").join(nodes, "digest"), "wanted")
     bitmap = key_bitmap(wanted, "th")
     some = with_membership(src.select("text", "th"), bitmap, F.col("th"), "maybe").where("maybe").select("text")
@@ -350,7 +416,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     true = cut(links.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a binary, b binary"), "true-links")
 
     labels = components(true)
-    blocks = remaining_blocks(leaves, labels).join(shingles, "digest").select("block", "digest", "sh")
+    blocks = remaining_blocks(leaves, deep, labels, leaf).join(shingles, "digest").select("block", "digest", "label", "sh")
     more = cut(blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_verify_blocks, "a binary, b binary"), "more-links")
     if not more.isEmpty():
         labels = components(true.union(more))

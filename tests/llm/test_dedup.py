@@ -80,6 +80,19 @@ def test_ngram_join_of_a_group_around_the_threshold(spark):
     assert not wrong, (len(wrong), len(want), wrong[:5])
 
 
+def test_ngram_join_of_a_bucket_that_no_split_takes_apart(spark):
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for k in range(60):  # pairs of near copies, each pair under 0.8 to the others
+        family = _edited(base, 6, rng, f"x{k}")
+        rows += [(2 * k, " ".join(family)), (2 * k + 1, " ".join([*family[:-1], f"y{k}"]))]
+    want = _brute_force(rows)
+    assert len({c for c, _ in want.values()}) > 50
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(make(spark, rows), leaf=8, deepest=1).collect()}
+    wrong = [(i, got[i], want[i]) for i in want if got[i] != want[i]]
+    assert not wrong, (len(wrong), len(want), wrong[:5])
+
+
 def test_ngram_join_matches_brute_force(spark, corpus):
     got = ngram_join.ngram_join(make(spark, corpus)).collect()
     sets = [(i, _shingles(t)) for i, t in corpus]
