@@ -3,9 +3,9 @@
 One pass over the training documents counts words and word pairs by 64-bit hash and deals the counts
 to segments by the hash's top bits; the number of segments follows the input, so every segment is a
 small task. A segment turns its counts into its own slice of the filter: an n-gram of count c enters
-once for every level up to log(c). The slices together are bounded by FILTER_BITS (a segment that
-would outgrow its share raises its count cutoff), so the filter may be broadcast. Scoring probes
-level after level until one is absent and smooths the counts found.
+once for every level up to log(c). Scoring probes level after level until one is absent and smooths
+the counts found. Slices of FILTER_BITS together are broadcast; a larger filter stays whole in the
+shared folder, and every segment's slice answers the keys asked of it, with the same result.
 
 The base score needs exact counts: the most frequent words of every segment, a bounded number, are
 broadcast too; the other words' tokens meet the exact counts of their segment in a co-grouped join.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, read
 from .quality import fold
 
-#: Bits of the whole filter at most, bits per entry, hash functions, base of the count levels.
+#: Bits of a filter that is broadcast at most, bits per entry, hash functions, base of the count levels.
 FILTER_BITS, BITS_PER_ENTRY, HASHES, BASE = 1 << 30, 10, 3, 1.6
 #: Words whose exact counts are broadcast at most (12 bytes each), and tokens counted at once.
 FREQUENT, CHUNK = 1 << 20, 1_000_000
@@ -89,12 +89,9 @@ def _places(keys: np.ndarray, lev: int, bits: np.ndarray | int) -> Iterator[np.n
         yield ((h >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)
 
 
-def build_slice(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[int, bytes]:
-    """(bits, bytes) of one segment's slice; over most_bits, the rarest counts stay out."""
+def build_slice(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[int, bytes]:
+    """(bits, bytes) of one segment's slice, all its n-grams in it; most_bits is no longer a bound."""
     lev = level(counts)
-    while lev.sum() * BITS_PER_ENTRY > most_bits and len(lev):
-        keep = counts > counts.min()
-        keys, counts, lev = keys[keep], counts[keep], lev[keep]
     bits = int(max(64, lev.sum() * BITS_PER_ENTRY + 7 & ~7))
     marks = np.zeros(bits, bool)
     for at in range(1, int(lev.max(initial=0)) + 1):
@@ -103,6 +100,12 @@ def build_slice(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[i
     return bits, np.packbits(marks, bitorder="little").tobytes()
 
 
+def _probe(keys: np.ndarray, bits: int, data: bytes) -> np.ndarray:
+    """Levels of keys of one segment by its slice."""
+    packed = np.frombuffer(data, np.uint8)
+    return Model(63, np.array([bits, bits]), np.zeros(2, np.int64), packed, keys[:0], keys[:0], 0, 0).levels(keys)
+
+
 @dataclass
 class Model:
     shift: int
@@ -113,9 +116,15 @@ class Model:
     frequent_counts: np.ndarray
     tokens: int
     kinds: int
+    #: False where the slices stay in the shared folder; ``ends`` is then the count of the end token.
+    whole: bool = True
+    ends: float = 0.0
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: probe level by level those keys that are still present."""
+        return value(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of the counts: probe level by level those keys that are still present."""
         found = np.zeros(len(keys), np.int64)
         active = np.arange(len(keys))
         lev = 1
@@ -129,23 +138,29 @@ class Model:
             active = active[hit]
             found[active] = lev
             lev += 1
-        return value(found)
+        return found
 
     def log10(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 of P(token | previous) for the tokens of whole documents, ends included.
+        """log10 of P(token | previous) for the tokens of whole documents, ends included."""
+        distinct, where = np.unique(tokens, return_inverse=True)
+        return self.smoothed(tokens, self.counts(distinct)[where], self.counts(pairs(tokens)))
+
+    def smoothed(self, tokens: np.ndarray, single: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """The probabilities from the counts of the tokens and of their pairs.
 
         A context of count c gives its pair counts the weight c / (c + BACKOFF) and the word model,
         add-one over the quantised counts, the rest.
         """
-        distinct, where = np.unique(tokens, return_inverse=True)
-        single = self.counts(distinct)[where]
         word = (single + 1) / (self.tokens + self.kinds + 1)
         of = np.where(np.concatenate([[END], tokens[:-1]]) == END, self._ends, np.concatenate([[0.0], single[:-1]]))
-        both = np.minimum(self.counts(pairs(tokens)), of)
+        both = np.minimum(both, of)
         return np.log10((both + BACKOFF * word) / (of + BACKOFF))
 
     def __post_init__(self) -> None:
-        self._ends = float(self.counts(np.array([END], np.uint64))[0]) if len(self.bits) else 0.0
+        if self.whole:
+            self._ends = float(self.counts(np.array([END], np.uint64))[0]) if len(self.bits) else 0.0
+        else:
+            self._ends = self.ends
 
 
 _COUNTED = "seg int, pair boolean, keys binary, counts binary"
@@ -194,7 +209,7 @@ def _slicer(segments: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words, n = _summed(pdf[~pdf["pair"]])
         both, m = _summed(pdf[pdf["pair"]])
-        bits, data = build_slice(np.concatenate([words, both]), np.concatenate([n, m]), FILTER_BITS // segments)
+        bits, data = build_slice(np.concatenate([words, both]), np.concatenate([n, m]))
         top = np.sort(np.argsort(-n, kind="stable")[: FREQUENT // segments])
         row = (int(pdf["seg"].iloc[0]), words.tobytes(), n.tobytes(), bits, data, words[top].tobytes(), n[top].tobytes(), int(n.sum()), len(words))
         return pd.DataFrame([row], columns=[f.split()[0] for f in _SLICED.split(", ")])
@@ -203,7 +218,7 @@ def _slicer(segments: int):
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the exact word counts by segment (seg, keys, counts) in the shared folder."""
+    """The model, and by segment the exact word counts and the slice (seg, keys, counts, bits, slice) in the shared folder."""
     parts = docs.rdd.getNumPartitions()
     power = min(16, max(6, int(np.ceil(np.log2(4 * max(1, parts))))))
     segments, shift = 1 << power, 64 - power
@@ -211,10 +226,12 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     sliced = cut(counted.groupBy("seg").applyInPandas(_slicer(segments), _SLICED), "lm-slices")
     bits, start = np.full(segments, 64, np.int64), np.zeros(segments, np.int64)
     data, size, tops, tokens, kinds = [bytes(8)], 64, [], 0, 0
-    for r in sliced.select("seg", "bits", "slice", "top_keys", "top_counts", "tokens", "kinds").toLocalIterator():
+    whole = (sliced.agg(F.sum("bits")).first()[0] or 0) <= FILTER_BITS
+    for r in sliced.select("seg", "bits", *(["slice"] if whole else []), "top_keys", "top_counts", "tokens", "kinds").toLocalIterator():
         bits[r["seg"]], start[r["seg"]] = r["bits"], size
-        data.append(bytes(r["slice"]))
-        size += len(r["slice"]) * 8
+        if whole:
+            data.append(bytes(r["slice"]))
+            size += len(r["slice"]) * 8
         tops.append((np.frombuffer(r["top_keys"], np.uint64), np.frombuffer(r["top_counts"], np.int64)))
         tokens += r["tokens"]
         kinds += r["kinds"]
@@ -223,18 +240,35 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     keys = np.concatenate([k for k, _ in tops] or [np.zeros(0, np.uint64)])
     order = np.argsort(keys)
     counts = np.concatenate([c for _, c in tops] or [np.zeros(0, np.int64)])[order]
-    model = Model(shift, bits, start, packed, keys[order], counts, tokens, kinds)
-    return model, sliced.select("seg", "keys", "counts")
+    ends = 0.0
+    if not whole:
+        r = sliced.where(F.col("seg") == int(END >> np.uint64(shift))).select("bits", "slice").first()
+        ends = float(value(_probe(np.array([END], np.uint64), r["bits"], r["slice"]))[0]) if r else 0.0
+    model = Model(shift, bits, start, packed, keys[order], counts, tokens, kinds, whole, ends)
+    return model, sliced.select("seg", "keys", "counts", "bits", "slice")
 
 
+#: Where the filter is not broadcast: the tokens of a chunk of documents, and the keys it asks of a segment.
+_ASKED = "chunk long, rids binary, lengths binary, tokens binary, asked int, asked_keys binary"
 _SCORED = "rid long, id string, n long, known long, logs double, score double, seg int, keys binary, rows binary"
 
 
+def _chunk(rid: int, lengths: np.ndarray, tokens: np.ndarray, shift: int) -> list[pd.DataFrame]:
+    """The rows of _ASKED for the documents from ``rid`` on."""
+    keys = np.unique(np.concatenate([tokens, pairs(tokens)]))
+    segs = (keys >> np.uint64(shift)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(segs, prepend=-1))
+    asks = [(rid, int(segs[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    rids = (rid + np.arange(len(lengths))).astype(np.int64)
+    main = [(rid, rids.tobytes(), lengths.astype(np.int64).tobytes(), tokens.tobytes())]
+    return [pd.DataFrame(main, columns=["chunk", "rids", "lengths", "tokens"]), pd.DataFrame(asks, columns=["chunk", "asked", "asked_keys"])]
+
+
 def _scorer(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = shared.value
         words, rid = Words(), TaskContext.get().partitionId() << 33
-        columns = [f.split()[0] for f in _SCORED.split(", ")]
+        columns = [f.split()[0] for f in (_SCORED if m.whole else f"{_SCORED}, {_ASKED}").split(", ")]
         for pdf in frames:
             texts, ids = pdf["text"].tolist(), pdf["id"].tolist()
             at = 0
@@ -247,7 +281,7 @@ def _scorer(shared):
                 lengths = np.array([len(d) for d in docs])
                 first = np.cumsum(lengths) - lengths
                 of = np.repeat(np.arange(len(docs)), lengths)
-                score = np.add.reduceat(m.log10(tokens), first)
+                score = np.add.reduceat(m.log10(tokens), first) if m.whole else np.full(len(docs), np.nan)
                 known, logs = np.zeros(len(docs), np.int64), np.zeros(len(docs))
                 if len(m.frequent):
                     place = np.minimum(np.searchsorted(m.frequent, tokens), len(m.frequent) - 1)
@@ -263,7 +297,10 @@ def _scorer(shared):
                 segs = (rest >> np.uint64(m.shift)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(segs, prepend=-1)) if len(rest) else np.zeros(0, np.int64)
                 asks = [(int(segs[a]), rest[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(rest)], strict=False)]
-                yield pd.concat([main, pd.DataFrame(asks, columns=["seg", "keys", "rows"])], ignore_index=True).reindex(columns=columns).astype({k: "Int64" for k in ("rid", "n", "known", "seg")})
+                parts = [main, pd.DataFrame(asks, columns=["seg", "keys", "rows"])]
+                if not m.whole:
+                    parts += _chunk(rid, lengths, tokens, m.shift)
+                yield pd.concat(parts, ignore_index=True).reindex(columns=columns).astype({k: "Int64" for k in ("rid", "n", "known", "seg", "chunk", "asked") if k in columns})
                 rid += len(docs)
                 at += len(docs)
 
@@ -290,6 +327,36 @@ def _answer(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
+def _answer_levels(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """The levels of the keys asked of a segment; keys without a level are left out."""
+    out = []
+    if len(table):
+        for chunk, keys in zip(asks["chunk"], asks["keys"], strict=True):
+            keys = np.frombuffer(keys, np.uint64)
+            found = _probe(keys, int(table["bits"].iloc[0]), table["slice"].iloc[0])
+            out.append((chunk, keys[found > 0].tobytes(), found[found > 0].tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "keys", "levels"])
+
+
+def _chunk_scorer(shared):
+    def run(main: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        m: Model = shared.value
+        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers[c])])
+        keys, levels = np.append(join("keys", np.uint64), END), np.append(join("levels", np.int64), 0)
+        order = np.argsort(keys, kind="stable")
+        keys, levels = keys[order], levels[order]
+
+        def counts(k: np.ndarray) -> np.ndarray:
+            place = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            return value(np.where(keys[place] == k, levels[place], 0))
+
+        tokens, lengths = np.frombuffer(main["tokens"].iloc[0], np.uint64), np.frombuffer(main["lengths"].iloc[0], np.int64)
+        logs = m.smoothed(tokens, counts(tokens), counts(pairs(tokens)))
+        return pd.DataFrame({"rid": np.frombuffer(main["rids"].iloc[0], np.int64), "whole_score": np.add.reduceat(logs, np.cumsum(lengths) - lengths)})
+
+    return run
+
+
 def _sum_block(pdf: pd.DataFrame) -> pd.DataFrame:
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
     rid, where = np.unique(join("rids", np.int64), return_inverse=True)
@@ -306,11 +373,17 @@ def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     model, table = train(training, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    scored = cut(src.mapInPandas(_scorer(shared), _SCORED), "lm-scored")
+    scored = cut(src.mapInPandas(_scorer(shared), _SCORED if model.whole else f"{_SCORED}, {_ASKED}"), "lm-scored")
     asks = scored.where("seg is not null").select("seg", "keys", "rows")
-    more = asks.groupBy("seg").cogroup(table.groupBy("seg")).applyInPandas(_answer, _ANSWER)
+    more = asks.groupBy("seg").cogroup(table.select("seg", "keys", "counts").groupBy("seg")).applyInPandas(_answer, _ANSWER)
     more = more.groupBy("block").applyInPandas(_sum_block, "rid long, more_known long, more_logs double")
-    out = scored.where("rid is not null").drop("seg", "keys", "rows").join(more, "rid", "left")
+    out = scored.where("rid is not null").select("rid", "id", "n", "known", "logs", "score").join(more, "rid", "left")
+    if not model.whole:
+        asked = scored.where("asked is not null").select(F.col("asked").alias("seg"), "chunk", F.col("asked_keys").alias("keys"))
+        levels = asked.groupBy("seg").cogroup(table.select("seg", "bits", "slice").groupBy("seg")).applyInPandas(_answer_levels, "chunk long, keys binary, levels binary")
+        chunks = scored.where("tokens is not null").select("chunk", "rids", "lengths", "tokens").groupBy("chunk")
+        whole = chunks.cogroup(levels.groupBy("chunk")).applyInPandas(_chunk_scorer(shared), "rid long, whole_score double")
+        out = out.join(whole, "rid").drop("score").withColumnRenamed("whole_score", "score")
     size = float(np.log10(model.tokens + model.kinds + 1))
     return out.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),

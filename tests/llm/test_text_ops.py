@@ -115,6 +115,21 @@ def test_log_bloom_counts():
     assert (m.counts(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.06
 
 
+def test_lm_score_does_not_depend_on_the_room_for_the_filter(spark, corpus, monkeypatch):
+    docs = make(spark, corpus)
+    train = docs.where("doc_id % 3 <> 0")
+    scores = lambda: sorted((r.doc_id or -1, r.n_known, r.n_tokens, round(r.score, 6)) for r in lm_scoring.lm_scores(docs, train).collect())
+    want = scores()
+    monkeypatch.setattr(lm_scoring, "FILTER_BITS", 1 << 14)
+    assert scores() == want
+
+
+def test_lm_slice_keeps_rare_ngrams():
+    keys = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits, data = lm_scoring.build_slice(keys, np.ones(2000, np.int64), 64)
+    assert (lm_scoring._probe(keys, bits, data) > 0).all()
+
+
 def test_lm_without_training_rows(spark):
     docs = make(spark, [(1, "a b"), (2, None)])
     got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, docs.where("false")).collect()}
