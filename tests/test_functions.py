@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,3 +113,29 @@ def test_statistics_edges(spark):
     d = values(spark, [(0.0012,), (950.0,), (-3.0,), (0.0,), (1000.0,)], "v double", d=st.first_digit(F.col("v")))
     assert [r.d for r in d] == [1, 9, 3, None, 1]
     assert math.isclose(sum(math.log10(1 + 1 / i) for i in range(1, 10)), 1)
+
+
+def test_country_evidence_searches_whole_texts(spark):
+    filler = "plain words " * 3000
+    rows = [(i, filler + "| " + text + " |", "xx") for i, text, _ in geocues.SAMPLES] + [(11, None, "de"), (12, "Muster GmbH", "de"), (13, "", "en")]
+    got = {(r.doc_id, r.country): (r.confidence, r.cue_kinds) for r in geocues.country_evidence(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    best = {}
+    for i, text, lang in rows:  # brute force over the same rules
+        text, found = text or "", []
+        found += [(c, kind, w) for kind, rx, c, w, _ in geocues.PATTERNS for _ in re.finditer(rx, text)]
+        for m in re.finditer(r"\+\s?(\d{1,3})[\s\-().]?\d", text):
+            code = next((m[1][:n] for n in (3, 2, 1) if m[1][:n] in geocues.DIALLING), None)
+            many = geocues.AMBIGUOUS.get(code)
+            found += [(c, "phone", 0.35) for c in many] if many else [(geocues.DIALLING[code], "phone", 0.8)] if code else []
+        for m in re.finditer(r"(?i)(?:https?://)?(?:[\w-]+\.)+([a-z]{2,})(?:\.([a-z]{2}))?", text):
+            country = geocues.DOMAINS.get((m[2] or m[1]).lower())
+            found += [(country, "domain", 0.7)] if country else []
+        found += [(c, "currency", w) for sign, c, w in geocues.CURRENCIES if sign in text]
+        found += [("DE", "language", 0.25)] if lang == "de" else []
+        for c, kind, w in found:
+            kinds = best.setdefault((i, c), {})
+            kinds[kind] = max(w, kinds.get(kind, 0))
+    want = {k: (round(1 - math.prod(1 - w for w in v.values()), 4), ", ".join(sorted(v))) for k, v in best.items()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 2e-4 and got[k][1] == want[k][1] for k in want), (got, want)
+    assert got[12, "DE"][1] == "business, language" and (6, "KZ") in got
