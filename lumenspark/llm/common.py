@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local folder does, but only if the session itself is local.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lumenspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,6 +47,54 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(*cuts: DataFrame) -> None:
+    """Delete tables written by ``cut`` that no later plan reads."""
+    for df in cuts:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+# ---- memory of Python workers, which live on from task to task and from operator to operator ----
+
+_HELD: dict[str, tuple[Any, Any]] = {}
+
+
+def held(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """One object for each owner, kept between tasks of a worker process; what other owners left goes."""
+    for other in [o for o in _HELD if o != owner]:
+        del _HELD[other]
+    if owner not in _HELD or _HELD[owner][0] != key:
+        _HELD.pop(owner, None)
+        _HELD[owner] = (key, make())
+    return _HELD[owner][1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; idle workers count against their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition function that lets its memory go at the end; ``held`` objects of other owners go first."""
+
+    @wraps(run)
+    def wrapped(frames: Iterator) -> Iterator:
+        for owner in [o for o in _HELD if o != run.__module__]:
+            del _HELD[owner]
+        try:
+            yield from run(frames)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the fast built-in, which then means the same."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

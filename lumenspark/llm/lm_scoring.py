@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, lean, read
 from .quality import fold
 
 #: Bits of a filter that is broadcast at most, bits per entry, hash functions, base of the count levels.
@@ -174,6 +174,7 @@ def _counter(shift: int):
         for a, b in zip(at, [*at[1:], len(keys)], strict=True):
             yield int(segs[a]), pair, keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, single, double, size = Words(), [], [], 0
         for pdf in frames:
@@ -265,6 +266,7 @@ def _chunk(rid: int, lengths: np.ndarray, tokens: np.ndarray, shift: int) -> lis
 
 
 def _scorer(shared):
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = shared.value
         words, rid = Words(), TaskContext.get().partitionId() << 33

@@ -5,15 +5,20 @@ samples one coordinate, or two with probability 1/4 (1 / 0.8 on average), and se
 child of its token there, so two sets at the threshold keep meeting in one child on average. Nodes
 of more than LEAF sets split again; smaller buckets are brute-forced on sketches, one matrix
 comparison each. Runs repeat, for the sets whose leaves lay deep, until a pair at the threshold is
-met with the target probability. Verification on whole shingle sets has two passes: first a number
-of links linear in the bucket's size, every set's best partners and a maximum spanning forest; then
-every other pair above the sketch floor whose sets are still in different classes, block by block.
-Classes are connected components, and link counts are computed exactly within classes.
+met with the target probability.
+
+Sets of a leaf that sketches above the floor connect form a block; whole shingle sets meet there, all
+pairs of a block are compared exactly, and blocks found again by other runs are compared once. A node
+that splitting hardly makes smaller holds near copies: such nodes are pooled, their sets dealt into
+blocks, and all sets of different classes meet, once however many runs found them. Classes are
+connected components of true links; link counts are computed exactly within classes. Blocks are
+bounded in sets and in shingles, whatever the length of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, key_bitmap, read, remove_keys, with_membership
+from .common import cut, key_bitmap, lean, read, remove_keys, with_membership
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Min-hashes of a sketch, sets of a leaf, runs of a round, depth at which a node is taken apart by pivots.
-COORDS, LEAF, RUNS, DEEPEST = 64, 1024, 6, 24
-#: Probability to meet a pair at the threshold, sketch similarity under which it is no candidate, sets of a block.
-RECALL, SKETCH_FLOOR, BLOCK = 0.98, 0.65, 48
-#: Best partners of a set that the first pass verifies.
-BEST = 3
+#: Min-hashes of a sketch, sets of a leaf, runs of a round, depth at which splitting ends.
+COORDS, LEAF, RUNS, DEEPEST = 64, 2048, 6, 24
+#: A child with this share of its parent's sets or more is not split again.
+DENSE = 0.8
+#: Probability to meet a pair at the threshold, sketch similarity under which it is no candidate.
+RECALL, SKETCH_FLOOR = 0.98, 0.65
+#: Sets and shingles of half a block.
+HALF_SETS, HALF_SHINGLES = 1024, 400_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(7)
@@ -41,7 +48,7 @@ _B = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
 class Shingler:
     """text -> sorted distinct 64-bit hashes of its lower-cased word 5-grams; shorter texts are one shingle."""
 
-    def __init__(self, k: int = SHINGLE, most: int = 200_000) -> None:
+    def __init__(self, k: int = SHINGLE, most: int = 100_000) -> None:
         self.k, self.most, self.seen = k, most, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -76,18 +83,30 @@ def digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
 
+@lean
 def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cut_up = Shingler()
     for pdf in frames:
-        sets = [cut_up(t) for t in pdf["text"]]
-        yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "digest": [digest(s) for s in sets], "mh": [sketch(s).view(np.int32) for s in sets]})
+        rows = []
+        for text in pdf["text"]:
+            s = cut_up(text)
+            rows.append((digest(s), len(s), sketch(s).view(np.int32)))
+        names, sizes, low = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "digest": names, "w": sizes, "mh": low})
 
 
+@lean
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cut_up = Shingler()
+    cut_up, rows, size = Shingler(), [], 0
     for pdf in frames:
-        sets = [cut_up(t) for t in pdf["text"]]
-        yield pd.DataFrame({"digest": [digest(s) for s in sets], "sh": [s.astype("<u8").tobytes() for s in sets]})
+        for text in pdf["text"]:
+            s = cut_up(text)
+            rows.append((digest(s), s.astype("<u8").tobytes()))
+            size += len(s)
+            if size > HALF_SHINGLES:
+                yield pd.DataFrame(rows, columns=["digest", "sh"])
+                rows, size = [], 0
+    yield pd.DataFrame(rows, columns=["digest", "sh"])
 
 
 def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -115,105 +134,79 @@ def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def links_of(x: np.ndarray, floor: float = SKETCH_FLOOR, best: int = BEST) -> list[tuple[int, int]]:
-    """First candidate links of a leaf, linear in its size: each set's best partners and a maximum spanning forest."""
-    n, least = len(x), int(np.ceil(floor * x.shape[1]))
-    if n == 2:
-        return [(0, 1)] if (x[0] == x[1]).sum() >= least else []
-    sims = agreements(x, x)
-    np.fill_diagonal(sims, 0)
-    rows = np.flatnonzero(sims.max(axis=1) >= least)
-    if not len(rows):
-        return []
-    sims = sims[np.ix_(rows, rows)]
-    out = set()
-    for _ in range(min(best, len(rows) - 1)):
-        top = sims.argmax(axis=1)
-        ok = np.flatnonzero(sims[np.arange(len(rows)), top] >= least)
-        out.update((min(i, j), max(i, j)) for i, j in zip(ok.tolist(), top[ok].tolist(), strict=True))
-        if _ == 0:
-            full = sims.copy()
-        sims[np.arange(len(rows)), top] = 0
-    # Prim's tree: join the set most similar to those joined; a jump below the floor starts a new tree.
-    reach, via, left = full[0].astype(np.int16), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
-    left[0] = False
-    while left.any():
-        j = int(np.where(left, reach, -1).argmax())
-        if reach[j] >= least:
-            out.add((min(int(via[j]), j), max(int(via[j]), j)))
-        left[j] = False
-        closer = full[j] > reach
-        reach[closer], via[closer] = full[j][closer], j
-    return sorted((int(rows[i]), int(rows[j])) for i, j in out)
-
-
-def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    a, b = [], []
-    for group in _grouped(frames, ["path"]):
-        names = group["digest"].tolist()
-        if len(set(names)) < len(names):  # pivots may stand in their own block
-            group = group.drop_duplicates("digest")
-            names = group["digest"].tolist()
-        if len(names) < 2:
+def neighbours(x: np.ndarray, w: np.ndarray, label: np.ndarray | None = None, floor: float = SKETCH_FLOOR) -> np.ndarray:
+    """Matrix of the pairs of a leaf that may be links: sketches above the floor, sizes within the threshold, labels that differ."""
+    least, out = int(np.ceil(floor * x.shape[1])), np.zeros((len(x), len(x)), bool)
+    for a in range(0, len(x), 256):
+        b = slice(a, a + 256)
+        out[b] = (agreements(x[b], x) >= least) & (5 * np.minimum(w[b, None], w) >= 4 * np.maximum(w[b, None], w))
+        if label is not None:
+            out[b] &= label[b, None] != label
+    np.fill_diagonal(out, False)
+    return out
+
+
+def parts(near: np.ndarray) -> np.ndarray:
+    """Connected components of a symmetric matrix: the smallest index of each row's component."""
+    label = np.arange(len(near))
+    for root in range(len(near)):
+        if label[root] != root or not near[root].any():
             continue
-        for i, j in links_of(np.stack(group["mh"].tolist())):
-            a.append(min(names[i], names[j]))
-            b.append(max(names[i], names[j]))
-        if len(a) > 20_000:
-            yield pd.DataFrame({"a": a, "b": b})
-            a, b = [], []
-    yield pd.DataFrame({"a": a, "b": b})
+        fresh = near[root] & (label > root)
+        while fresh.any():
+            label[fresh] = root
+            fresh = near[fresh].any(axis=0) & (label > root)
+    return label
+
+
+def dealt(w: np.ndarray) -> np.ndarray:
+    """Numbers of consecutive half blocks for sets of ``w`` shingles each."""
+    out, at, sets, size = np.zeros(len(w), np.int64), 0, 0, 0
+    for i, x in enumerate(w.tolist()):
+        if sets and (sets >= HALF_SETS or size + x > HALF_SHINGLES):
+            at, sets, size = at + 1, 0, 0
+        out[i], sets, size = at, sets + 1, size + x
+    return out
 
 
-def _remaining(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sets of every pair of a leaf above the sketch floor whose labels differ, in blocks to compare.
+@lean
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, digest): the sets to compare exactly, so that no pair of a leaf above the sketch floor is left out.
 
-    Sets that such pairs connect share a block; more than two BLOCKs of them are dealt into blocks that
-    meet where a pair lies. A block is named after its sets, so that runs that find it again repeat its rows.
+    Sets that such pairs connect share a block; where they are too many, or too long, they are dealt
+    into half blocks that meet where a pair lies. Frames with a label leave out pairs of one label. A
+    block is named after its sets, so that runs that find it again repeat its rows.
     """
-    least, rows = int(np.ceil(SKETCH_FLOOR * COORDS)), []
-    columns = ["block", "digest", "label"]
+    rows: list[tuple[int, bytes]] = []
 
-    def add(which: np.ndarray, names: np.ndarray, labels: np.ndarray) -> None:
-        block = xxhash.xxh3_64_intdigest(b"".join(names[which])) - (1 << 63)
-        rows.extend((block, names[k], labels[k]) for k in which)
+    def add(names: np.ndarray) -> None:
+        block = xxhash.xxh3_64_intdigest(b"".join(names)) - (1 << 63)
+        rows.extend((block, n) for n in names)
 
     for group in _grouped(frames, ["path"]):
-        group = group.sort_values("digest")
-        names, labels = group["digest"].to_numpy(), group["label"].to_numpy()
-        label = pd.factorize(labels)[0]
-        most = np.bincount(label).argmax()
-        rest = np.flatnonzero(label != most)  # a pair of two labels has one of these
-        if not len(rest):
+        group = group.drop_duplicates("digest")  # pivots may stand in their own block
+        if len(group) < 2:
             continue
-        x = np.stack(group["mh"].tolist())
-        i, j = np.nonzero((agreements(x[rest], x) >= least) & (label[rest, None] != label))
-        if not len(i):
-            continue
-        i = rest[i]
-        part, was = np.arange(len(x)), None
-        while was is None or (part != was).any():
-            was = part.copy()
-            np.minimum.at(part, i, was[j])
-            np.minimum.at(part, j, was[i])
-            part = part[part]
-        order = np.argsort(part[i], kind="stable")
-        i, j = i[order], j[order]
-        starts = np.flatnonzero(np.diff(part[i], prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
-            u, v = i[a:b], j[a:b]
-            inside = np.unique(np.concatenate([u, v]))
-            if len(inside) <= 2 * BLOCK:
-                add(inside, names, labels)
+        group = group.sort_values("digest")
+        names, w = group["digest"].to_numpy(), group["w"].to_numpy().astype(np.int64)
+        near = neighbours(np.stack(group["mh"].tolist()), w, pd.factorize(group["label"])[0] if "label" in group else None)
+        of = parts(near)
+        for root in np.flatnonzero(near.any(axis=1) & (of == np.arange(len(of)))):
+            inside = np.flatnonzero(of == root)
+            if len(inside) <= 2 * HALF_SETS and w[inside].sum() <= 2 * HALF_SHINGLES:
+                add(names[inside])
                 continue
-            p, q = np.searchsorted(inside, u) // BLOCK, np.searchsorted(inside, v) // BLOCK
-            at = np.minimum(p, q) * len(x) + np.maximum(p, q)
-            for meet in np.unique(at):
-                add(np.unique(np.concatenate([u[at == meet], v[at == meet]])), names, labels)
+            half = dealt(w[inside])
+            for p in range(half[-1] + 1):
+                for q in range(p, half[-1] + 1):
+                    u, v = inside[half == p], inside[half == q]
+                    meet = near[np.ix_(u, v)]
+                    if meet.any():
+                        add(names[np.unique(np.concatenate([u[meet.any(axis=1)], v[meet.any(axis=0)]]))])
         if len(rows) > 20_000:
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=["block", "digest"])
             rows.clear()
-    yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame(rows, columns=["block", "digest"])
 
 
 def survival(depth: int, j: float = THRESHOLD) -> float:
@@ -232,119 +225,117 @@ def _children(path: Column, mh: Column) -> Column:
     return F.explode(F.when(F.pmod(F.xxhash64(path, F.lit("fork")), F.lit(4)) == 0, F.array(one, two)).otherwise(F.array(one))).alias("path")
 
 
-def candidate_links(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """First candidate links (a, b) between rows (digest, mh) of distinct sets, by repeated chosen-path runs.
+def leaves(sets: DataFrame, leaf: int = LEAF, recall: float = RECALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves (path, digest, w, mh) of repeated chosen-path runs over rows (digest, w, mh) of distinct sets.
 
-    With them the leaves (path, digest, mh) that may hold further pairs, and the buckets of the same
-    columns that no split made small enough, if there are any.
+    The second table has the rows of the nodes, of the same columns, that no split makes small enough.
     """
-    active, runs, found, leaves, deep = sets, 0, [], [], None
+    cols = ["path", "digest", "w", "mh"]
+    active, runs, small, dense = sets, 0, [], []
     while active is not None:
         roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {runs + r}")) for r in range(RUNS)))).alias("root")
         # The first rows travel without their sketch: most have no company and end here.
-        rows = active.select("digest", "mh", roots).select("digest", _children(F.col("root"), F.col("mh")))
+        rows = active.select("digest", "mh", roots).select("digest", _children(F.col("root"), F.col("mh")), F.lit(None).cast("long").alias("was"))
         runs += RUNS
-        depth, active, nodes = 1, None, []
+        depth, active = 1, None
         enough = next(d for d in range(1, 10_000) if 1 - (1 - survival(d)) ** runs < recall)
         while True:
             sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path-sizes")
             alive = rows.join(sizes, "path")
-            alive = cut(alive.join(sets.select("digest", "mh"), "digest") if depth == 1 else alive, "path-rows")
-            nodes.append(alive.where(F.col("n") <= leaf).select("path", "digest", "mh"))
-            leaves.append(alive.where((F.col("n") <= leaf) & (F.col("n") > BEST + 1)).select("path", "digest", "mh"))
+            alive = cut(alive.join(sets, "digest") if depth == 1 else alive, "path-rows")
+            small.append(alive.where(F.col("n") <= leaf).select(cols))
             if sizes.where(F.col("n") > leaf).isEmpty():
                 break
-            big = alive.where(F.col("n") > leaf)
+            stuck = (F.col("n") > leaf) & (F.lit(depth == deepest) | F.coalesce(F.col("n") >= F.col("was") * DENSE, F.lit(False)))
+            dense.append(alive.where(stuck).select(cols))
+            if depth == deepest:
+                break
+            big = alive.where((F.col("n") > leaf) & ~stuck)
             depth += 1
             if depth == enough:
                 active = cut(sets.join(big.select("digest").distinct(), "digest", "left_semi"), "deep")
-            if depth > deepest:
-                nodes.append(_taken_apart(big, leaf))
-                big = big.select("path", "digest", "mh")
-                deep = big if deep is None else deep.union(big)
-                break
-            rows = big.select("digest", "mh", _children(F.col("path"), F.col("mh")))
-        every = nodes[0]
-        for n in nodes[1:]:
-            every = every.unionByName(n)
-        found.append(every.repartition("path").sortWithinPartitions("path").mapInPandas(_leaves, "a binary, b binary"))
-    out, open_leaves = found[0], leaves[0]
-    for f in found[1:]:
-        out = out.union(f)
-    for f in leaves[1:]:
-        open_leaves = open_leaves.union(f)
-    return out.distinct(), open_leaves, deep
-
-
-def _crossed(named: DataFrame, leaf: int) -> DataFrame:
-    """Buckets above ``leaf`` as leaves in which every two sets of different labels meet.
-
-    The sets of a bucket's commonest label need not meet each other: their blocks (numbered below
+                if active.isEmpty():
+                    active = None
+            rows = big.select("digest", "w", "mh", _children(F.col("path"), F.col("mh")), F.col("n").alias("was"))
+    union = lambda dfs: reduce(DataFrame.union, dfs)
+    return union(small), union(dense) if dense else None
+
+
+def _pooled(dense: DataFrame) -> DataFrame:
+    """Dense nodes that share sets as one: a row for every set, path being the pool."""
+    dense = cut(dense, "dense")
+    heads = dense.groupBy("path").agg(F.min("digest").alias("head"))
+    pools = components(dense.join(heads, "path").select(F.col("head").alias("a"), F.col("digest").alias("b")))
+    return cut(dense.select("digest", "w", "mh").dropDuplicates(["digest"]).join(pools, F.col("digest") == F.col("node")).select(F.xxhash64("label").alias("path"), "digest", "w", "mh"), "pooled")
+
+
+def _halves(sets: Column, weight: Column) -> Column:
+    return F.ceil(F.greatest(sets / HALF_SETS, weight / HALF_SHINGLES)).cast("long")
+
+
+def _taken_apart(pooled: DataFrame) -> DataFrame:
+    """The pools dealt into blocks, each joined by the pool's two pivots: linear in the pool's size.
+
+    Members meet their block mates and, through the pivots, the rest; what this leaves unlinked meets in ``_crossed``.
+    """
+    pivots = pooled.groupBy("path").agg(F.min(F.struct("digest", "w", "mh")).alias("low"), F.max(F.struct("digest", "w", "mh")).alias("high"), _halves(F.count("*"), F.sum("w")).alias("blocks"))
+    own = pooled.join(pivots.select("path", "blocks"), "path").select(F.xxhash64("path", F.pmod(F.xxhash64("digest"), "blocks")).alias("path"), "digest", "w", "mh")
+    shared = pivots.select("path", F.array("low", "high").alias("ps"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    return own.unionByName(shared.select(F.xxhash64("path", "b").alias("path"), F.explode("ps").alias("p")).select("path", "p.*"))
+
+
+def _crossed(named: DataFrame) -> DataFrame:
+    """Pools as leaves in which every two sets of different labels meet.
+
+    The sets of a pool's commonest label need not meet each other: their blocks (numbered below
     zero) meet the blocks of the other sets, and those meet one another.
     """
-    named, half = cut(named, "deep-named"), max(1, leaf // 2)
-    sizes = named.groupBy("path", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("path").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
-    sizes = sizes.select("path", "most", F.ceil(F.col("top") / half).cast("long").alias("tops"), F.ceil((F.col("n") - F.col("top")) / half).cast("long").alias("rests"))
+    named = cut(named, "pool-named")
+    sizes = named.groupBy("path", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    sizes = sizes.groupBy("path").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > top.n")
+    sizes = sizes.select("path", F.col("top.label").alias("most"), _halves(F.col("top.n"), F.col("top.w")).alias("tops"), _halves(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rests"))
     whole, h = named.join(sizes, "path"), F.xxhash64("digest")
     top = F.col("label") == F.col("most")
     others = F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)
     meet = F.when(top, others).otherwise(F.concat(others, F.sequence(-F.col("tops"), F.lit(-1).cast("long"))))
     whole = whole.withColumn("own", F.when(top, -1 - F.pmod(h, F.col("tops"))).otherwise(F.pmod(h, F.col("rests")))).withColumn("other", F.explode(meet))
-    return whole.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "digest", "mh", "label")
+    return whole.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "digest", "w", "mh", "label")
 
 
-def remaining_blocks(leaves: DataFrame, deep: DataFrame | None, labels: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """(block, digest, label): the sets to compare with each other so that no pair of a leaf or a deep bucket above the floor is left out.
-
-    Only pairs of different labels are left; a set without a label is its own class.
-    """
-    label = labels.select(F.col("node").alias("digest"), "label")
-    with_label = lambda df: df.join(label, "digest", "left").select("path", "digest", "mh", F.coalesce("label", "digest").alias("label"))
-    named = with_label(leaves)
-    if deep is not None:
-        named = named.unionByName(_crossed(with_label(deep), leaf))
-    found = named.repartition("path").sortWithinPartitions("path").mapInPandas(_remaining, "block long, digest binary, label binary")
-    return found.distinct()
+def blocks_of(leaves: DataFrame) -> DataFrame:
+    """(block, digest), every block once."""
+    return leaves.repartition("path").sortWithinPartitions("path").mapInPandas(_blocks, "block long, digest binary").distinct()
 
 
-def _taken_apart(big: DataFrame, leaf: int) -> DataFrame:
-    """Sets that no sampled token tells apart: dealt into blocks, each joined by the bucket's two pivots.
+def overlaps(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of all intersections, from incidence matrices of ``cells`` cells at most.
 
-    Linear in the bucket's size; members meet their block mates and, through the pivots, the rest.
-    For the first pass only: what it leaves unlinked meets in ``_crossed``.
+    Tokens of one set say nothing, and tokens held by the same sets are one column with a weight.
     """
-    pivots = big.groupBy("path").agg(F.min(F.struct("digest", "mh")).alias("low"), F.max(F.struct("digest", "mh")).alias("high"), F.max("n").alias("n"))
-    blocks = lambda n: F.ceil(n / (leaf // 2)).cast("long")
-    own = big.select(F.xxhash64("path", F.pmod(F.xxhash64("digest"), blocks(F.col("n")))).alias("path"), "digest", "mh")
-    shared = pivots.select("path", F.array("low", "high").alias("ps"), F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("n")) - 1)).alias("b"))
-    shared = shared.select(F.xxhash64("path", "b").alias("path"), F.explode("ps").alias("p"))
-    return own.unionByName(shared.select("path", F.col("p.digest").alias("digest"), F.col("p.mh").alias("mh")))
-
-
-def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        ok = []
-        for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-            both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            ok.append(both > 0 and 5 * both >= 4 * (len(x) // 8 + len(y) // 8 - both))
-        yield pdf.loc[ok, ["a", "b"]]
-
-
-def overlaps(sets: list[np.ndarray], width: int = 16_384) -> np.ndarray:
-    """Sizes of all intersections, from an incidence matrix taken ``width`` tokens at a time."""
-    sizes = np.array([len(s) for s in sets])
-    _, col = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    out = np.zeros((len(sets), len(sets)))
-    top = int(col[-1]) + 1 if len(col) else 0
-    for c in range(0, top, width):
-        a, b = np.searchsorted(col, [c, c + width])
-        m = np.zeros((len(sets), min(width, top - c)), np.float32)
-        m[row[a:b], col[a:b] - c] = 1
-        out += m @ m.T
+    n = len(sets)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+    held = np.diff(np.append(first, len(token)))
+    out = np.zeros((n, n), np.float64)
+    if not (held > 1).any():
+        return out.astype(np.int64)
+    mark = np.random.default_rng(3).integers(0, 1 << 63, n, dtype=np.uint64)
+    column = np.add.reduceat(mark[row], first)[held > 1]
+    first, held = first[held > 1], held[held > 1]
+    _, one, weight = np.unique(column, return_index=True, return_counts=True)
+    width = max(1, cells // n)
+    for c in range(0, len(one), width):
+        at = one[c : c + width]
+        m = np.zeros((n, len(at)), np.float32)
+        rows = np.concatenate([row[first[k] : first[k] + held[k]] for k in at])
+        m[rows, np.repeat(np.arange(len(at)), held[at])] = 1
+        out += (m * weight[c : c + width].astype(np.float32)) @ m.T
     return np.rint(out).astype(np.int64)
 
 
@@ -355,32 +346,37 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
     return linked
 
 
-def _verify_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The links of a block that join its classes: a spanning forest of the links between different labels."""
+@lean
+def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The classes of a block by its true links: (a, b), b the first set of a's class."""
     a, b = [], []
     for g in _grouped(frames, ["block"]):
-        label, names = pd.factorize(g["label"])[0], g["digest"].to_numpy()
-        linked = _linked([np.frombuffer(x, "<u8") for x in g["sh"]])
-        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-            if label[i] != label[j]:
-                a.append(names[i])
-                b.append(names[j])
-                label[label == label[j]] = label[i]
+        names = g["digest"].to_numpy()
+        of = parts(_linked([np.frombuffer(x, "<u8") for x in g["sh"]]))
+        linked = np.flatnonzero(of != np.arange(len(of)))
+        a += names[linked].tolist()
+        b += names[of[linked]].tolist()
         if len(a) > 20_000:
             yield pd.DataFrame({"a": a, "b": b})
             a, b = [], []
     yield pd.DataFrame({"a": a, "b": b})
 
 
+def true_links(blocks: DataFrame, shingles: DataFrame) -> DataFrame:
+    met = blocks.join(shingles.select("digest", "sh"), "digest").select("block", "digest", "sh")
+    return met.repartition("block").sortWithinPartitions("block").mapInPandas(_verify, "a binary, b binary")
+
+
+@lean
 def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names, counts = [], []
     for g in _grouped(frames, ["block"]):
-        sets = [np.frombuffer(x, "<u8") for x in g["sh"]]
-        own, copies, linked = g["own"].to_numpy(), g["copies"].to_numpy(), _linked(sets)
-        if own.min() != own.max():  # two blocks meet: only pairs across them are new
-            linked &= own[:, None] != own[None, :]
-        elif g["cross"].iloc[0]:
+        own, copies = g["own"].to_numpy(), g["copies"].to_numpy()
+        if g["cross"].iloc[0] and own.min() == own.max():
             continue
+        linked = _linked([np.frombuffer(x, "<u8") for x in g["sh"]])
+        if g["cross"].iloc[0]:  # two blocks meet: only pairs across them are new
+            linked &= own[:, None] != own[None, :]
         names += g["digest"].tolist()
         counts += (linked @ copies).tolist()
         if len(names) > 20_000:
@@ -389,6 +385,17 @@ def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"digest": names, "links": counts})
 
 
+def link_counts(shingles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(digest, links): the documents linked to each set of a class, from all pairs of its blocks."""
+    member = cut(labels.join(shingles.select(F.col("digest").alias("node"), "w"), "node"), "classes-of")
+    sizes = member.groupBy("label").agg(_halves(F.count("*"), F.sum("w")).cast("int").alias("blocks"))
+    member = member.join(sizes, "label").select(F.col("node").alias("digest"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    meet = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    block = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
+    meet = meet.join(shingles, "digest").select(block.alias("block"), "digest", "own", (F.col("own") != F.col("other")).alias("cross"), "copies", "sh")
+    return meet.repartition("block").sortWithinPartitions("block").mapInPandas(_count_links, "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), n_links.
 
@@ -399,33 +406,33 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nulls only has a null id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    id_type = docs.schema[id_col].dataType
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     ids_as_text = src.withColumn("id", F.col("id").cast("string"))
-    rows = cut(ids_as_text.mapInPandas(_sketches, "id string, th long, digest binary, mh array<int>").withColumn("id", F.col("id").cast("long")), "sketches")
-    kinds = cut(rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("th").alias("th"), F.first("mh").alias("mh")), "sets")
-    links, leaves, deep = candidate_links(kinds.select("digest", "mh"), leaf, deepest=deepest)
-    links = cut(links, "candidates")
-
-    nodes = links.select(F.explode(F.array("a", "b")).alias("digest"))
-    nodes = (nodes if deep is None else nodes.union(deep.select("digest"))).distinct()
-    wanted = cut(kinds.select("digest", "th", "copies").join(nodes, "digest"), "wanted")
+    rows = cut(ids_as_text.mapInPandas(_sketches, "id string, th long, digest binary, w int, mh array<int>").withColumn("id", F.col("id").cast(id_type)), "sketches")
+    kinds = cut(rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("th").alias("th"), F.first("w").alias("w"), F.first("mh").alias("mh")), "sets")
+    found, dense = leaves(kinds.select("digest", "w", "mh"), leaf, deepest=deepest)
+    if dense is not None:
+        dense = _pooled(dense)
+        found = found.union(_taken_apart(dense))
+    blocks = cut(blocks_of(found), "blocks")
+
+    nodes = blocks.select("digest")
+    nodes = (nodes if dense is None else nodes.union(dense.select("digest"))).distinct()
+    wanted = cut(kinds.select("digest", "th", "w", "copies").join(nodes, "digest"), "wanted")
     bitmap = key_bitmap(wanted, "th")
     some = with_membership(src.select("text", "th"), bitmap, F.col("th"), "maybe").where("maybe").select("text")
-    shingles = cut(some.mapInPandas(_sets, "digest binary, sh binary").groupBy("digest").agg(F.first("sh").alias("sh")).join(wanted.select("digest", "copies"), "digest"), "shingles")
-    side = lambda c: shingles.select(F.col("digest").alias(c), F.col("sh").alias(f"s{c}"))
-    true = cut(links.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a binary, b binary"), "true-links")
-
+    # A text for each hash would do, but the rows of one text come from many tasks; the join sees to it.
+    whole = some.mapInPandas(_sets, "digest binary, sh binary")
+    shingles = cut(whole.groupBy("digest").agg(F.first("sh").alias("sh")).join(wanted.select("digest", "w", "copies"), "digest"), "shingles")
+    true = cut(true_links(blocks, shingles), "true-links")
     labels = components(true)
-    blocks = remaining_blocks(leaves, deep, labels, leaf).join(shingles, "digest").select("block", "digest", "label", "sh")
-    more = cut(blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_verify_blocks, "a binary, b binary"), "more-links")
-    if not more.isEmpty():
-        labels = components(true.union(more))
-    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = cut(labels.join(sizes, "label").select(F.col("node").alias("digest"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "members")
-    meet = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    block = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
-    meet = meet.join(shingles, "digest").select(block.alias("block"), "digest", "own", (F.col("own") != F.col("other")).alias("cross"), "copies", "sh")
-    counted = meet.repartition("block").sortWithinPartitions("block").mapInPandas(_count_links, "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
+    if dense is not None:
+        label = labels.select(F.col("node").alias("digest"), "label")
+        more = cut(true_links(blocks_of(_crossed(dense.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")))), shingles), "more-links")
+        if not more.isEmpty():
+            labels = components(true.union(more))
+    counted = link_counts(shingles, labels)
 
     named = kinds.select("digest", "first_id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").join(counted, "digest", "left")
     named = cut(named.select("digest", "first_id", F.coalesce("label", "digest").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, held, lean, read
 from .word_bpe import WordBpe, batches
 
 SEQUENCE, SEPARATOR = 2048, 0
@@ -71,23 +71,14 @@ def pieces(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(s, min(size, n - s)) for s in range(0, n, size)]
 
 
-_ENCODER: dict[str, WordBpe] = {}
-
-
-def _encoder(path: str) -> WordBpe:
-    """One encoder a worker process, kept from task to task."""
-    if path not in _ENCODER:
-        _ENCODER[path] = WordBpe(path)
-    return _ENCODER[path]
-
-
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used int"
+PACKED = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used int"
 
 
 def _packer(path: str, size: int, with_ids: bool):
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encoder, fit = _encoder(path), BestFit(size)
+        encoder, fit = held(__name__, path, lambda: WordBpe(path)), BestFit(size)
         docs, parts, starts, lengths, crcs, bins, offsets, ids = ([] for _ in range(8))
         for pdf in frames:
             texts = [x or "" for x in pdf["text"]]
@@ -141,8 +132,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     sequence run from 0 without gaps. with_ids adds the piece's ids. An empty table gives no rows.
     """
     schema = PACKED + (", ids array<int>" if with_ids else "")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = cut(src.mapInPandas(_packer(tokenizer_path, size, with_ids), schema), "packed")
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    first = src.mapInPandas(_packer(tokenizer_path, size, with_ids), schema)
+    first = cut(first.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)), "packed")
     # A partition leaves at most OPEN_BINS poorly filled bins, whatever its size.
     poor = first.where(F.col("used") < int(size * POOR)).select("sequence_id", "used", F.expr(f"shiftright(sequence_id, 33) div {NEIGHBOURS}").alias("hood")).distinct()
     moved = poor.repartition("hood").mapInPandas(_repack(size), "old long, new long, base long").where("old <> new")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import give_back, read
 
 #: Slots and dimensions of the word vectors, nonzeros of an index vector, neighbours on either side.
 SLOTS, DIMS, NONZERO, WINDOW = 1 << 15, 64, 4, 2
@@ -59,7 +59,7 @@ def _slots(word: str) -> str:
 class Tokens:
     """text -> slots; remembers at most ``most`` words."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.most, self.seen = most, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for s in frames:
             # A row at a time: sums in a matrix product depend on the batch, and equal texts score alike.
             yield pd.Series([float(m.scores(m.pool(tokens(x or ""))[None, :])[0]) for x in s], dtype="float64")
+        give_back()
 
     out = docs.withColumn("score", udf(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import held, lean, read
 
 SPACE = "▁"
 #: Added to the lowest piece score for a character that only bytes can spell.
@@ -134,13 +134,8 @@ class Pieces:
         return self.decode_text(ids.astype("<u2").tobytes().decode("utf-16-le"))
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def _pieces(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return held(__name__, path, lambda: Pieces(path))
 
 
 ENCODED = "id string, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>"
@@ -153,6 +148,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     back. One pass, no shuffle.
     """
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sp = _pieces(model_path)
         for pdf in frames:

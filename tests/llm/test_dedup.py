@@ -159,3 +159,59 @@ def test_line_dedup_matches_brute_force(spark, corpus):
         want = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i])
         assert got[i].text == want, i
         assert got[i].n_removed == len(gone[i])
+
+
+def test_ngram_join_pools_dense_nodes_and_keeps_every_link(spark):
+    rng = random.Random(14)
+    rows = []
+    for g in range(12):  # groups around the threshold: many pairs just above, many just below
+        base = [f"g{g}w{i}" for i in range(180)]
+        rows += [(100 * g + k, " ".join(_edited(base, 4, rng, f"g{g}x{k}"))) for k in range(25)]
+    want = _brute_force(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(make(spark, rows), leaf=8).collect()}
+    wrong = [(i, got[i], want[i]) for i in want if got[i] != want[i]]
+    assert not wrong, (len(wrong), len(want), wrong[:5])
+
+
+def test_sparse_buckets_split_to_the_end_and_meet_the_recall(spark):
+    rng, rows = random.Random(15), []
+    shared = " ".join(f"s{i}" for i in range(40))  # a passage that all documents hold
+    for k in range(150):
+        own = [f"p{k}w{i}" for i in range(160)]
+        rows += [(2 * k, shared + " " + " ".join(own)), (2 * k + 1, shared + " " + " ".join(_edited(own, 2, rng, f"y{k}")))]
+    want = _brute_force(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(make(spark, rows), leaf=4).collect()}
+    assert sum(got[i] == want[i] for i in want) >= ngram_join.RECALL * len(want)
+
+
+def test_blocks_are_bounded_and_leave_no_pair_out(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(ngram_join, "HALF_SETS", 6)
+    monkeypatch.setattr(ngram_join, "HALF_SHINGLES", 1000)
+    rng = random.Random(16)
+    cut_up, base = ngram_join.Shingler(), [f"w{i}" for i in range(100)]
+    sets = [cut_up(" ".join(_edited(base, 2, rng, f"x{k}"))) for k in range(40)]
+    group = pd.DataFrame({"path": 1, "digest": [ngram_join.digest(s) for s in sets], "w": [len(s) for s in sets], "mh": [ngram_join.sketch(s).view("int32") for s in sets]})
+    out = pd.concat(ngram_join._blocks(iter([group])))
+    near = ngram_join.neighbours(__import__("numpy").stack(group["mh"].tolist()), group["w"].to_numpy())
+    assert out.groupby("block").size().max() <= 12
+    met = {frozenset((a, b)) for _, g in out.groupby("block") for a in g["digest"] for b in g["digest"] if a != b}
+    names = group["digest"].tolist()
+    assert all(frozenset((names[i], names[j])) in met for i in range(40) for j in range(40) if near[i, j])
+
+
+def test_overlaps_equal_set_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 30):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(n)]
+        got = ngram_join.overlaps(sets, 64)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n) if i != j)
+
+
+def test_ngram_join_takes_ids_of_text(spark, corpus):
+    docs = make(spark, corpus).selectExpr("'d' || doc_id as doc_id", "text")
+    got = {r.doc_id: r.class_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got["d200"] == min(i for i in got if i and got[i] == got["d200"])
