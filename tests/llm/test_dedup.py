@@ -161,6 +161,35 @@ def test_line_dedup_matches_brute_force(spark, corpus):
         assert got[i].n_removed == len(gone[i])
 
 
+def test_line_dedup_around_the_threshold_with_null_ids_and_repeated_rows(spark):
+    rng = random.Random(6)
+    rows = [(None, "first of all\n\n only words here "), (3, "ONLY words\there"), (4, None), (5, " \n\t")]
+    for g in range(4):  # sets of 40 words, many pairs just above 0.8 and many just below
+        base = [f"g{g}w{i}" for i in range(40)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.sample(range(40), 2):
+                words[at] = f"x{g}_{k}_{at}"
+            rows.append((100 * g + 10 + k, f"line {g} {k} of its own\n" + " ".join(words)))
+    rows.append((900, "long " + " ".join(f"z{i}" for i in range(20_000))))
+    rows.append((901, " ".join(f"z{i}" for i in range(19_000))))
+    want, seen = {}, []
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        kept = []
+        for line in (t or "").split("\n"):
+            s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.translate(TO)))
+            if not (s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen)):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want[i] = "\n".join(kept)
+    rows.append(rows[4])  # equal in id and text: one document
+    got = line_dedup.line_dedup(make(spark, rows)).collect()
+    assert len(got) == len(rows)
+    wrong = [r.doc_id for r in got if r.text != want[r.doc_id]]
+    assert not wrong, wrong
+
+
 def test_ngram_join_pools_dense_nodes_and_keeps_every_link(spark):
     rng = random.Random(14)
     rows = []
