@@ -307,7 +307,7 @@ def blocks_of(leaves: DataFrame) -> DataFrame:
     return leaves.repartition("path").sortWithinPartitions("path").mapInPandas(_blocks, "block long, digest binary").distinct()
 
 
-def overlaps(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], cells: int = 1 << 20) -> np.ndarray:
     """Sizes of all intersections, from incidence matrices of ``cells`` cells at most.
 
     Tokens of one set say nothing, and tokens held by the same sets are one column with a weight.
@@ -322,9 +322,9 @@ def overlaps(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
     token, row = token[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
     held = np.diff(np.append(first, len(token)))
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.int32)
     if not (held > 1).any():
-        return out.astype(np.int64)
+        return out
     mark = np.random.default_rng(3).integers(0, 1 << 63, n, dtype=np.uint64)
     column = np.add.reduceat(mark[row], first)[held > 1]
     first, held = first[held > 1], held[held > 1]
@@ -335,13 +335,17 @@ def overlaps(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
         m = np.zeros((n, len(at)), np.float32)
         rows = np.concatenate([row[first[k] : first[k] + held[k]] for k in at])
         m[rows, np.repeat(np.arange(len(at)), held[at])] = 1
-        out += (m * weight[c : c + width].astype(np.float32)) @ m.T
-    return np.rint(out).astype(np.int64)
+        both = m @ m.T if (weight[c : c + width] == 1).all() else (m * weight[c : c + width].astype(np.float32)) @ m.T
+        out += np.rint(both, out=both).astype(np.int32)
+    return out
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
     size, both = np.array([len(s) for s in sets]), overlaps(sets)
-    linked = (both > 0) & (5 * both >= 4 * (size[:, None] + size[None, :] - both))
+    linked = np.zeros(both.shape, bool)
+    for a in range(0, len(sets), 256):  # in strips: a matrix of whole numbers is eight times as large
+        b = slice(a, a + 256)
+        linked[b] = (both[b] > 0) & (9 * both[b].astype(np.int64) >= 4 * (size[b, None] + size))
     np.fill_diagonal(linked, False)
     return linked
 
@@ -378,7 +382,7 @@ def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if g["cross"].iloc[0]:  # two blocks meet: only pairs across them are new
             linked &= own[:, None] != own[None, :]
         names += g["digest"].tolist()
-        counts += (linked @ copies).tolist()
+        counts += [int(copies[row].sum()) for row in linked]
         if len(names) > 20_000:
             yield pd.DataFrame({"digest": names, "links": counts})
             names, counts = [], []
