@@ -143,6 +143,8 @@ def read_track(data: memoryview) -> dict:
     if b"stsz" not in found:
         raise MediaError("no stsz")
     fixed, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+    if fixed * count > len(data):
+        raise MediaError("more samples than the file can hold")
     sizes = np.full(count, fixed, np.int64) if fixed else _table(data, found[b"stsz"], ">u4", 1, 8)[:, 0]
     chunks = (_table(data, found[b"co64"], ">u8", 1) if b"co64" in found else _table(data, found[b"stco"], ">u4", 1) if b"stco" in found else np.zeros((0, 1), np.int64))[:, 0]
     runs = _table(data, found[b"stsc"], ">u4", 3)
@@ -177,7 +179,7 @@ def describe(data: bytes) -> dict:
     """The columns of FIELDS; error is set, and the rest null, where the bytes cannot be read."""
     try:
         track = read_track(memoryview(data))
-    except (MediaError, struct.error) as e:
+    except (MediaError, struct.error, IndexError) as e:  # IndexError: a box without a body at the end
         return dict.fromkeys(x.split()[0] for x in FIELDS.split(", ")) | {"error": str(e)}
     keys = track["keys"]
     ranges = [{"start": a, "length": b} for a, b in zip(track["offsets"][keys].tolist(), track["sizes"][keys].tolist(), strict=True)]

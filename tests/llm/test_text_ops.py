@@ -70,6 +70,16 @@ def test_media_survives_bad_bytes(spark):
     assert all(out[k].error for k in (2, 3, 4, 5, 6))
 
 
+def test_media_with_false_counts_and_bare_boxes_is_an_error():
+    media = iso_media.write_media(iso_media.pad_payload(b"x" * 200))
+    at = media.index(b"stsz") + 12
+    assert media[at : at + 4] == (4).to_bytes(4, "big")
+    assert "more samples" in iso_media.describe(media[:at] + (4_000_000_000).to_bytes(4, "big") + media[at + 4 :])["error"]
+    tables = [iso_media.box(k, bytes(16)) for k in (b"hdlr", b"stsd", b"stts", b"stsc")]
+    bare = iso_media.box(b"moov", iso_media.box(b"trak", *tables, iso_media.box(b"mdhd")))
+    assert iso_media.describe(bare)["error"]
+
+
 def test_stored_features_of_documents(spark, corpus):
     got = iso_media.stored_features(make(spark, corpus)).collect()
     assert len(got) == len(corpus)
