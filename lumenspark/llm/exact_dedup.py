@@ -37,11 +37,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scan = with_membership(src.withColumn("k", F.xxhash64(length, prefix)), prefixes, F.col("k"), "survives")
     digest = F.unhex(F.sha2(lower_az(F.col("text")).cast("binary"), 256))
     if digest_all:
-        scan = scan.select("id", "survives", digest.alias("sha"))
+        scan = scan.select("id", "k", "survives", digest.alias("sha"))
     else:
-        scan = scan.select("id", "survives", F.when(F.col("survives"), digest).alias("sha"))
-    # Rows that left early are alone in their group; their id keeps them apart, spread over tasks.
-    key = F.when(F.col("survives"), F.col("sha")).otherwise(F.concat(F.lit("~"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+        scan = scan.select("id", "k", "survives", F.when(F.col("survives"), digest).alias("sha"))
+    # Rows that left early are alone in length and prefix; with the id, which may repeat or be null, these keep them apart.
+    key = F.when(F.col("survives"), F.col("sha")).otherwise(F.concat_ws("~", F.lit(""), F.col("k"), F.col("id").cast("string")).cast("binary"))
     rows = cut(scan.withColumn("key", key).groupBy("id", "key", "sha").agg(F.count("*").alias("n"), F.max("survives").alias("survives")), "exact-rows")
     groups = rows.where("survives").groupBy("key").agg(F.max("id").alias("g_id"), F.sum("n").alias("g_n")).where("g_n > 1").withColumnRenamed("key", "g_key")
     out = rows.join(groups, F.col("key") == F.col("g_key"), "left")

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from lumenspark.llm import exact_dedup, line_dedup, ngram_join
 
 from .conftest import SCHEMA, make
@@ -244,3 +246,11 @@ def test_ngram_join_takes_ids_of_text(spark, corpus):
     docs = make(spark, corpus).selectExpr("'d' || doc_id as doc_id", "text")
     got = {r.doc_id: r.class_id for r in ngram_join.ngram_join(docs).collect()}
     assert got["d200"] == min(i for i in got if i and got[i] == got["d200"])
+
+
+@pytest.mark.parametrize("digest_all", [False, True])
+def test_exact_dedup_keeps_different_texts_of_one_id_apart(spark, digest_all):
+    rows = [(7, "one text"), (7, "quite another text"), (None, "a third"), (None, "the fourth one"), (8, "Same"), (9, "same"), (9, "same")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest_all=digest_all).collect()
+    told = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got)
+    assert told == [(0, 0, 1, True), (0, 0, 1, True), (7, 7, 1, True), (7, 7, 1, True), (8, 9, 3, False), (9, 9, 3, False), (9, 9, 3, True)]
