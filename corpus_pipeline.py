@@ -32,13 +32,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in brackets; n_chars follows the text."""
-    found = pii.find_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), "text")
-    clean = pii.redact(found).select("row", F.col("text").alias("__text"), "spans")
-    changed = F.size("spans") > 0
-    row = F.col("row").withField("text", F.col("__text"))
+    # The text stands beside the row, not in it: find_spans writes what it is given.
+    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    found = pii.find_spans(docs.select(rest.alias("row"), F.col("text")), "text")
+    clean = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(changed, F.length("__text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(row.alias("row")).select("row.*")
+        clean["n_chars"] = F.when(F.size("spans") > 0, F.length("text")).otherwise(clean["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return pii.redact(found).select(*(v.alias(c) for c, v in clean.items()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, key_bitmap, lower_az, read, remove_keys, with_membership
+from .common import cut, key_bitmap, lower_az, read, remove_keys, settled, with_membership
 
 #: Characters of the normalised text that level 2 hashes.
 PREFIX_CHARS = 64
@@ -56,7 +56,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that repeat both id and text lose all but one. Null ids are kept unless a text repeats under
     a null id only, where rows cannot be told apart and all stay.
     """
-    decided = cut(exact_dedup(docs, id_col, text_col).select(id_col, "kept"), "exact-decided")
+    decided = settled(lambda: exact_dedup(docs, id_col, text_col).select(id_col, "kept"), "exact-decided")
     counts = decided.groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
     gone = counts.where("k = 0").select(id_col)
     clean = remove_keys(docs, gone, id_col)

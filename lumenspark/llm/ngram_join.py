@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, key_bitmap, lean, read, remove_keys, with_membership
+from .common import cut, key_bitmap, lean, read, remove_keys, settled, with_membership
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -447,7 +447,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of every class, the one with the smallest id; all columns stay."""
-    classes = cut(ngram_join(docs, id_col, text_col), "near-classes")
+    classes = settled(lambda: ngram_join(docs, id_col, text_col), "near-classes")
     gone = classes.where(F.col(id_col) != F.col("class_id")).select(id_col)
     heads = classes.where(F.col(id_col) == F.col("class_id")).select(id_col)
     return remove_keys(docs, gone.join(heads, id_col, "left_anti"), id_col)

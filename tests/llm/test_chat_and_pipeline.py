@@ -47,3 +47,44 @@ def test_stages_take_an_empty_table(spark):
     empty = read(spark, sf, "documents").where("false")
     for _, stage in p.STAGES[1:]:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_cuts_leave_no_shuffles_and_settled_tables_no_cuts(spark):
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from lumenspark.llm import common
+
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in dirs for f in d.rglob("shuffle_*")}
+    shared = Path(common.shared_dir(spark))
+    grouped = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n"))
+    shuffles_before, cuts_before = shuffles(), set(shared.iterdir())
+
+    inner = lambda: common.cut(grouped, "inner").where("k < 600")
+    out = common.settled(lambda: common.settled(inner, "middle").groupBy("n").agg(F.count("*").alias("ks")), "outer")
+    assert sum(r.n * r.ks for r in out.collect()) == sum(5000 // 700 + (k < 5000 % 700) for k in range(600))
+    (left,) = set(shared.iterdir()) - cuts_before
+    assert left.name.startswith("outer-")
+    for _ in range(50):  # deleted in the background
+        if not shuffles() - shuffles_before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - shuffles_before
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
+
+
+def test_redaction_writes_the_text_once(spark, monkeypatch):
+    import corpus_pipeline as p
+    from lumenspark.llm import pii
+
+    written = []
+    plain = pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df, name: written.append(df.schema.simpleString()) or plain(df, name))
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", "en", "s", 17), (2, None, "en", "s", None), (3, "none", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars int")
+    out = p.redact_personal_data(spark, docs, "")
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert {tuple(r) for r in out.collect()} == {(1, "mail [EMAIL] now", "en", "s", 16), (2, None, "en", "s", None), (3, "none", "en", "s", 4)}
+    assert [w.replace("context:", "").count("text:") for w in written] == [1]
