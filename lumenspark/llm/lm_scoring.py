@@ -5,7 +5,9 @@ to segments by the hash's top bits; the number of segments follows the input, so
 small task. A segment turns its counts into its own slice of the filter: an n-gram of count c enters
 once for every level up to log(c). Scoring probes level after level until one is absent and smooths
 the counts found. Slices of FILTER_BITS together are broadcast; a larger filter stays whole in the
-shared folder, and every segment's slice answers the keys asked of it, with the same result.
+shared folder, and every segment's slice answers the keys asked of it, with the same result. For that
+the tokens of a chunk of documents are written once, as ranks in its words; the keys asked, made from
+them, travel as differences and the answers as levels in the order of the keys.
 
 The base score needs exact counts: the most frequent words of every segment, a bounded number, are
 broadcast too; the other words' tokens meet the exact counts of their segment in a co-grouped join.
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,9 @@ BLOCK_BITS = 12
 #: Weight of the word model against a context's count.
 BACKOFF = 4.0
 
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
+#: Bits of a hash that the filter and pairs of words look at, the upper 48; exact counts look at all.
+KEEP = np.uint64(~0xFFFF & (1 << 64) - 1)
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n")) & KEEP
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -48,6 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pairs(tokens: np.ndarray) -> np.ndarray:
     """Keys of (previous token, token); the first token follows an end."""
+    tokens = tokens & KEEP
     before = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
     return mix(before * _MUL2 + (tokens ^ (tokens >> np.uint64(17))))
 
@@ -84,6 +90,7 @@ def value(levels: np.ndarray) -> np.ndarray:
 
 
 def _places(keys: np.ndarray, lev: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    keys = keys & KEEP
     for i in range(HASHES):
         h = mix(keys + np.uint64((lev * HASHES + i + 1) * 0x9E3779B9))
         yield ((h >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)
@@ -249,20 +256,67 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     return model, sliced.select("seg", "keys", "counts", "bits", "slice")
 
 
-#: Where the filter is not broadcast: the tokens of a chunk of documents, and the keys it asks of a segment.
-_ASKED = "chunk long, rids binary, lengths binary, tokens binary, asked int, asked_keys binary"
+#: Where the filter is not broadcast: the tokens of a chunk of documents.
+_ASKED = "chunk long, rids binary, lengths binary, words binary, counts binary, tokens binary"
 _SCORED = "rid long, id string, n long, known long, logs double, score double, seg int, keys binary, rows binary"
 
 
-def _chunk(rid: int, lengths: np.ndarray, tokens: np.ndarray, shift: int) -> list[pd.DataFrame]:
-    """The rows of _ASKED for the documents from ``rid`` on."""
-    keys = np.unique(np.concatenate([tokens, pairs(tokens)]))
-    segs = (keys >> np.uint64(shift)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(segs, prepend=-1))
-    asks = [(rid, int(segs[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
-    rids = (rid + np.arange(len(lengths))).astype(np.int64)
-    main = [(rid, rids.tobytes(), lengths.astype(np.int64).tobytes(), tokens.tobytes())]
-    return [pd.DataFrame(main, columns=["chunk", "rids", "lengths", "tokens"]), pd.DataFrame(asks, columns=["chunk", "asked", "asked_keys"])]
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, least bytes first, without the upper bytes that all have empty; compressed."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(x).to_bytes(4, "little") + bytes([width]) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    out = np.zeros((n, 8), np.uint8)
+    if n * width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[5:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def pack_keys(keys: np.ndarray, base: int = 0) -> bytes:
+    """Ascending keys of KEEP's bits from ``base`` on, by their differences."""
+    return pack(np.diff(keys >> np.uint64(16), prepend=np.uint64(base >> 16)))
+
+
+def unpack_keys(data: bytes, base: int = 0) -> np.ndarray:
+    return (np.cumsum(unpack(data), dtype=np.uint64) + np.uint64(base >> 16)) << np.uint64(16)
+
+
+def pack_tokens(tokens: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The words of KEEP's bits, how often each occurs, and the tokens as ranks from frequent to rare."""
+    words, where, counts = np.unique(tokens & KEEP, return_inverse=True, return_counts=True)
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+    return pack_keys(words), pack(counts), pack(rank[where])
+
+
+def unpack_tokens(words: bytes, counts: bytes, tokens: bytes) -> np.ndarray:
+    order = np.argsort(-unpack(counts).astype(np.int64), kind="stable")
+    return unpack_keys(words)[order][unpack(tokens).astype(np.int64)]
+
+
+def _keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk's tokens and pairs, and where those of the tokens, then of the pairs are."""
+    return np.unique(np.concatenate([tokens, pairs(tokens)]) & KEEP, return_inverse=True)
+
+
+def _asker(shift: int):
+    @lean
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The keys that chunks ask of segments."""
+        for pdf in frames:
+            for r in pdf.itertuples():
+                keys, _ = _keys(unpack_tokens(r.words, r.counts, r.tokens))
+                segs = (keys >> np.uint64(shift)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(segs, prepend=-1))
+                asks = [(r.chunk, int(segs[a]), pack_keys(keys[a:b], int(segs[a]) << shift)) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+                yield pd.DataFrame(asks, columns=["chunk", "seg", "keys"])
+
+    return run
 
 
 def _scorer(shared):
@@ -276,7 +330,7 @@ def _scorer(shared):
             at = 0
             while at < len(texts):
                 docs, size = [], 0
-                while at + len(docs) < len(texts) and size < 300_000:
+                while at + len(docs) < len(texts) and size < (300_000 if m.whole else CHUNK):
                     docs.append(words(texts[at + len(docs)] or ""))
                     size += len(docs[-1])
                 tokens = np.concatenate(docs)
@@ -301,8 +355,10 @@ def _scorer(shared):
                 asks = [(int(segs[a]), rest[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(rest)], strict=False)]
                 parts = [main, pd.DataFrame(asks, columns=["seg", "keys", "rows"])]
                 if not m.whole:
-                    parts += _chunk(rid, lengths, tokens, m.shift)
-                yield pd.concat(parts, ignore_index=True).reindex(columns=columns).astype({k: "Int64" for k in ("rid", "n", "known", "seg", "chunk", "asked") if k in columns})
+                    rids = (rid + np.arange(len(docs))).astype(np.int64)
+                    main = [(rid, rids.tobytes(), lengths.astype(np.int64).tobytes(), *pack_tokens(tokens))]
+                    parts.append(pd.DataFrame(main, columns=[f.split()[0] for f in _ASKED.split(", ")]))
+                yield pd.concat(parts, ignore_index=True).reindex(columns=columns).astype({k: "Int64" for k in ("rid", "n", "known", "seg", "chunk") if k in columns})
                 rid += len(docs)
                 at += len(docs)
 
@@ -329,31 +385,30 @@ def _answer(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
-def _answer_levels(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    """The levels of the keys asked of a segment; keys without a level are left out."""
-    out = []
-    if len(table):
-        for chunk, keys in zip(asks["chunk"], asks["keys"], strict=True):
-            keys = np.frombuffer(keys, np.uint64)
-            found = _probe(keys, int(table["bits"].iloc[0]), table["slice"].iloc[0])
-            out.append((chunk, keys[found > 0].tobytes(), found[found > 0].tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "keys", "levels"])
+def _answerer(shift: int):
+    def run(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        """The levels of the keys asked of a segment, in their order."""
+        out = []
+        for chunk, seg, data in zip(asks["chunk"], asks["seg"], asks["keys"], strict=True):
+            keys = unpack_keys(data, int(seg) << shift)
+            found = _probe(keys, int(table["bits"].iloc[0]), table["slice"].iloc[0]) if len(table) else np.zeros(len(keys), np.int64)
+            out.append((chunk, seg, pack(found)))
+        return pd.DataFrame(out, columns=["chunk", "seg", "levels"])
+
+    return run
 
 
 def _chunk_scorer(shared):
     def run(main: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         m: Model = shared.value
-        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers[c])])
-        keys, levels = np.append(join("keys", np.uint64), END), np.append(join("levels", np.int64), 0)
-        order = np.argsort(keys, kind="stable")
-        keys, levels = keys[order], levels[order]
-
-        def counts(k: np.ndarray) -> np.ndarray:
-            place = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            return value(np.where(keys[place] == k, levels[place], 0))
-
-        tokens, lengths = np.frombuffer(main["tokens"].iloc[0], np.uint64), np.frombuffer(main["lengths"].iloc[0], np.int64)
-        logs = m.smoothed(tokens, counts(tokens), counts(pairs(tokens)))
+        tokens = unpack_tokens(*(main[c].iloc[0] for c in ("words", "counts", "tokens")))
+        lengths = np.frombuffer(main["lengths"].iloc[0], np.int64)
+        keys, where = _keys(tokens)
+        levels = np.concatenate([unpack(x) for x in answers.sort_values("seg")["levels"]]).astype(np.int64)
+        if len(levels) != len(keys):
+            raise ValueError(f"{len(levels)} answers to {len(keys)} keys")
+        counts = value(levels)[where]
+        logs = m.smoothed(tokens, counts[: len(tokens)], counts[len(tokens) :])
         return pd.DataFrame({"rid": np.frombuffer(main["rids"].iloc[0], np.int64), "whole_score": np.add.reduceat(logs, np.cumsum(lengths) - lengths)})
 
     return run
@@ -381,10 +436,11 @@ def lm_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     more = more.groupBy("block").applyInPandas(_sum_block, "rid long, more_known long, more_logs double")
     out = scored.where("rid is not null").select("rid", "id", "n", "known", "logs", "score").join(more, "rid", "left")
     if not model.whole:
-        asked = scored.where("asked is not null").select(F.col("asked").alias("seg"), "chunk", F.col("asked_keys").alias("keys"))
-        levels = asked.groupBy("seg").cogroup(table.select("seg", "bits", "slice").groupBy("seg")).applyInPandas(_answer_levels, "chunk long, keys binary, levels binary")
-        chunks = scored.where("tokens is not null").select("chunk", "rids", "lengths", "tokens").groupBy("chunk")
-        whole = chunks.cogroup(levels.groupBy("chunk")).applyInPandas(_chunk_scorer(shared), "rid long, whole_score double")
+        chunks = scored.where("tokens is not null").select("chunk", "rids", "lengths", "words", "counts", "tokens")
+        asked = chunks.select("chunk", "words", "counts", "tokens").mapInPandas(_asker(model.shift), "chunk long, seg int, keys binary")
+        levels = asked.groupBy("seg").cogroup(table.select("seg", "bits", "slice").groupBy("seg")).applyInPandas(_answerer(model.shift), "chunk long, seg int, levels binary")
+        levels = cut(levels, "lm-levels")  # the keys go with their shuffle
+        whole = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(_chunk_scorer(shared), "rid long, whole_score double")
         out = out.join(whole, "rid").drop("score").withColumnRenamed("whole_score", "score")
     size = float(np.log10(model.tokens + model.kinds + 1))
     return out.select(

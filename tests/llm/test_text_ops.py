@@ -140,6 +140,22 @@ def test_lm_slice_keeps_rare_ngrams():
     assert (lm_scoring._probe(keys, bits, data) > 0).all()
 
 
+def test_lm_packs_what_a_large_filter_is_asked():
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, 1 << 64, 30_000, dtype=np.uint64)
+    tokens = kinds[np.minimum(rng.zipf(1.3, 200_000) - 1, len(kinds) - 1)]
+    stored = lm_scoring.pack_tokens(tokens)
+    assert (lm_scoring.unpack_tokens(*stored) == tokens & lm_scoring.KEEP).all()
+    assert sum(map(len, stored)) < 3 * len(tokens)  # 8 bytes a token as hashes
+    keys, where = lm_scoring._keys(tokens)
+    assert (keys[where[len(tokens) :]] == lm_scoring.pairs(tokens) & lm_scoring.KEEP).all()
+    assert len(lm_scoring.pack_keys(keys)) < 5.5 * len(keys)  # 8 as hashes
+    high = keys[keys >= np.uint64(1 << 63)]
+    assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(high, 1 << 63), 1 << 63) == high).all()
+    for x in ([], [0, 0], [1 << 63, 5]):
+        assert lm_scoring.unpack(lm_scoring.pack(np.array(x, np.uint64))).tolist() == x
+
+
 def test_lm_without_training_rows(spark):
     docs = make(spark, [(1, "a b"), (2, None)])
     got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, docs.where("false")).collect()}
