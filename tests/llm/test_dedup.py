@@ -192,6 +192,54 @@ def test_line_dedup_around_the_threshold_with_null_ids_and_repeated_rows(spark):
     assert not wrong, wrong
 
 
+def _join_rows(spark, after=-1):
+    """The last execution's id and the most rows that a join has made in executions after the given one."""
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        last = max(last, run)
+        if run <= after:
+            continue
+        values, pairs = {}, store.executionMetrics(run).iterator()
+        while pairs.hasNext():
+            pair = pairs.next()
+            values[pair._1()] = pair._2()
+        nodes = store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows":
+                    most = max(most, int(values.get(m.accumulatorId(), "0").replace(",", "")))
+    return last, most
+
+
+def test_line_dedup_does_not_pair_all_lines_of_a_large_group_of_near_copies(spark):
+    rng, base = random.Random(17), [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(_edited(base, 1, rng, f"x{k}"))) for k in range(1, 301)]
+    before, _ = _join_rows(spark)
+    got = line_dedup.line_dedup(make(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == {0}
+    _, most = _join_rows(spark, before)
+    assert 300 <= most <= 20 * len(rows), most  # pairs: 45,150
+
+
+def test_line_dedup_of_lines_on_both_sides_of_a_long_signature(spark):
+    rng, rows, seen = random.Random(18), [], []
+    for g, n in enumerate((60, 64, 66, 70, 150)):  # words; the signature changes at SHORT
+        base = [f"g{g}w{i}" for i in range(n)]
+        for k in range(10):
+            words = _edited(base, rng.randint(n // 20, n // 10), rng, f"x{g}_{k}")
+            rows.append((rng.randrange(10**6), " ".join(words[: n - rng.randint(0, n // 9)])))
+    want = {}
+    for i, t in sorted(rows):
+        s = frozenset(t.split())
+        want[i] = any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+        seen.append(s)
+    assert 5 < sum(want.values()) < 45
+    got = {r.doc_id: r.n_removed == 1 for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == want
+
+
 def test_ngram_join_pools_dense_nodes_and_keeps_every_link(spark):
     rng = random.Random(14)
     rows = []
