@@ -223,6 +223,29 @@ def test_line_dedup_does_not_pair_all_lines_of_a_large_group_of_near_copies(spar
     assert 300 <= most <= 20 * len(rows), most  # pairs: 45,150
 
 
+def test_line_dedup_settles_near_copies_with_different_numbers_of_own_words(spark):
+    rng, base = random.Random(19), [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(_edited(base, rng.randint(0, 5), rng, f"x{k}"))) for k in range(400)]
+    want, seen = {}, []
+    for i, t in rows:
+        s = frozenset(t.split())
+        want[i] = any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+        seen.append(s)
+    before, _ = _join_rows(spark)
+    got = {r.doc_id: r.n_removed == 1 for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == want
+    _, most = _join_rows(spark, before)
+    assert 400 <= most <= 20 * len(rows), most
+
+
+def test_line_dedup_lowers_the_case_of_a_to_z_only(spark):
+    kept = ["\u00c9t\u00c9 un", "\u00e9t\u00e9 un", "\u00c3\u00a9t un", "\u0e29 un", "\U000108a9 un", "\u00d7 un", "\u00f7 un", "\u0130 un", "i\u0307 un", "\u212a un", "K un", "\u00df un", "ss un", "\u00a0 un", "un"]
+    later = ["UN \u00e9T\u00e9", "\u00c9T\u00c9\tUN", "uN  \u212a", "UN k\x0b", "Un \U000108a9 \U000108a9"]
+    rows = [(1, "\n".join(kept)), (2, "\n".join(later))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", len(later))}
+
+
 def test_line_dedup_of_lines_on_both_sides_of_a_long_signature(spark):
     rng, rows, seen = random.Random(18), [], []
     for g, n in enumerate((60, 64, 66, 70, 150)):  # words; the signature changes at SHORT
