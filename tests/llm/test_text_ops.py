@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -283,6 +284,15 @@ def test_pii_base_spans_match_brute_force(spark):
     assert red[12] == texts[12] and red[7] is None and red[11] == 'token = "[SECRET]" end' and "4111 1111" not in red[2]
 
 
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    texts = ["x a@b.c y", "mail a@b.c or d@e.f", "at 1.2.3.4 and 10.0.0.1, 4111 1111 1111 1111", "+49 (0) 30 1234567", "é a@b.c 1.2.3.4 4111111111111111 +1-202-555-0123 g@h.i 5.6.7.8", None, "", "none"]
+    make(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op9_pii(spark, str(tmp_path)).collect():
+        base = _base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, x, _ in base) for k in range(4)), r.doc_id
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
 def test_pii_of_an_empty_table(spark):
     assert pii.find_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
