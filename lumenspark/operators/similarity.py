@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
+from .blocks import best_scores
 
 
 def hex_halves(h: Column) -> tuple[Column, Column]:
@@ -94,29 +95,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: References are broadcast up to this many bytes; more of them are dealt out in blocks.
+#: Vectors that meet in one task may take this many bytes; a block of either side takes an eighth of them.
 BROADCAST_BYTES = 64 << 20
 
 
-def entity_scores(queries: DataFrame, refs: DataFrame, blocks: int = 32) -> DataFrame:
+def entity_scores(queries: DataFrame, refs: DataFrame, blocks: int = 12) -> DataFrame:
     """Best similarity of every (query, entity): queries (query_id, vector), refs (ref_id, entity, vector).
 
     Ties keep the larger ref_id. Rows of different dimension are an error. Vectors must have length 1.
-    The reference side is broadcast behind a check of its size; otherwise it is cut into blocks that
-    every query meets in turn, pre-aggregated per block.
+    Both sides are cut into blocks that meet in at least ``blocks`` cells, or a reference block for
+    each thousand; every cell keeps its best similarity of each query and entity.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    r = refs.select("ref_id", "entity", F.col("vector").alias("rv"))
-    size = r.agg(F.coalesce(F.sum(F.size("rv") * 8 + 64), F.lit(0))).first()[0]
-    match = F.when(F.size("qv") == F.size("rv"), dot(F.col("qv"), F.col("rv"))).otherwise(F.raise_error(F.lit("vectors differ in dimension")).cast("double"))
-    if size <= BROADCAST_BYTES:
-        pairs = q.withColumn("k", F.lit(0)).join(F.broadcast(r.withColumn("k", F.lit(0))), "k")
-    else:
-        n = max(blocks, min(4096, int(size // max(1, BROADCAST_BYTES)) * 4))
-        left = q.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        pairs = left.join(r.withColumn("k", F.pmod(F.xxhash64("ref_id"), F.lit(n)).cast("int")), "k")
-    best = F.max(F.struct(match.alias("similarity"), F.col("ref_id")))
-    return pairs.groupBy("query_id", "entity").agg(best.alias("b")).select("query_id", "entity", F.col("b.similarity").alias("similarity"), F.col("b.ref_id").alias("ref_id"))
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    q = queries.select("query_id", vector.alias("qv"))
+    r = refs.select("ref_id", "entity", vector.alias("rv"))
+    limit = max(1, BROADCAST_BYTES // 8)
+
+    def sizes(df: DataFrame, v: str) -> tuple[int, int]:
+        n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.size(v) * 8 + 64), F.lit(0))).first()
+        return max(1, n), min(max(1, n), max(1, -(-size // limit)))
+
+    (_, n), (rows, m) = sizes(q, "qv"), sizes(r, "rv")
+    m = max(m, min(-(-blocks // n), -(-rows // 1024)))
+    best = F.max(F.struct("similarity", "ref_id"))
+    return best_scores(q, n, r, m).groupBy("query_id", "entity").agg(best.alias("b")).select("query_id", "entity", F.col("b.similarity").alias("similarity"), F.col("b.ref_id").alias("ref_id"))
 
 
 def entity_verdicts(scores: DataFrame, threshold: float = 0.363, margin: float = 0.05) -> DataFrame:

@@ -5,11 +5,12 @@ import random
 import struct
 import zlib
 from datetime import date
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspark.operators import detection, report, rules, sensitive, similarity, store
+from lumenspark.operators import blocks, detection, report, rules, sensitive, similarity, store
 from lumenspark.plans import planner
 from lumenspark.sources import images
 from lumenspark.streaming import incremental
@@ -52,6 +53,33 @@ def test_entity_verdicts(spark):
         similarity.BROADCAST_BYTES = old
 
 
+def test_entity_scores_of_blocks_match_brute_force(spark):
+    rng = random.Random(8)
+    vec = lambda: [rng.choice((-1.0, -0.5, 0.1, 0.3, 0.7)) for _ in range(7)]  # noqa: E731 - many ties
+    some = [vec() for _ in range(9)]
+    q = [(i, rng.choice(some)) for i in range(23)]
+    r = [(i, rng.choice("abc"), rng.choice(some)) for i in range(61)] + [(99, None, vec())]
+    dot = lambda a, b: reduce(lambda t, xy: t + xy[0] * xy[1], zip(a, b, strict=True), 0.0)
+    want = {}
+    for i, v in q:
+        for j, e, w in r:
+            want[i, e] = max(want.get((i, e), (-9.0, -1)), (dot(v, w), j))
+    qs = spark.createDataFrame(q, "query_id int, vector array<double>")
+    rs = spark.createDataFrame(r, "ref_id int, entity string, vector array<double>")
+    qv, rv = qs.select("query_id", F.col("vector").alias("qv")), rs.select("ref_id", "entity", F.col("vector").alias("rv"))
+    for n, m in ((1, 1), (3, 4)):
+        met = blocks.best_scores(qv, n, rv, m)
+        assert met.count() <= len(want) * m  # no row for a pair leaves its cell
+        best = {}
+        for x in met.collect():
+            best[x.query_id, x.entity] = max(best.get((x.query_id, x.entity), (-9.0, -1)), (x.similarity, x.ref_id))
+        assert best == want
+    assert {(x.query_id, x.entity): (x.similarity, x.ref_id) for x in similarity.entity_scores(qs, rs).collect()} == want
+    with pytest.raises(Exception, match="differ in dimension"):
+        similarity.entity_scores(qs, rs.union(spark.createDataFrame([(200, "a", [1.0])], rs.schema))).collect()
+    assert similarity.entity_scores(qs, rs.where("false")).count() == 0 and similarity.entity_scores(qs.where("false"), rs).count() == 0
+
+
 def test_planner():
     assert {a.name for a in planner.select(planner.REGISTRY, "standard")} <= {a.name for a in planner.select(planner.REGISTRY, "deep")}
     assert all(a.cost == "cheap" for a in planner.select(planner.REGISTRY, "quick"))
