@@ -13,7 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+#: A tile of keys that are compared at once: small enough for a core's cache.
+ROWS, COLUMNS = 8, 8192
+#: Pairs that a task gathers before it sends or merges them.
+FLUSH = 1 << 20
+
 
 def pack(df: DataFrame, n: int, key: str) -> DataFrame:
     """(block, items): the rows of df as structs, dealt by key into n blocks."""
@@ -45,6 +51,53 @@ def _each(run: Callable[[bool, list[pa.Array], list[pa.Array]], Iterator[list]],
     return over
 
 
+def _near(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of all 64-bit keys within the radius, i < j where both sides are the same."""
+    for c in range(0, len(right), COLUMNS):
+        r = right[c : c + COLUMNS]
+        x, d = np.empty((ROWS, len(r)), np.uint64), np.empty((ROWS, len(r)), np.uint8)
+        for a in range(0, min(len(left), c + len(r)) if same else len(left), ROWS):
+            of = left[a : a + ROWS]
+            np.bitwise_xor(of[:, None], r[None], out=x[: len(of)])
+            np.bitwise_count(x[: len(of)], out=d[: len(of)])
+            hit = np.flatnonzero(d[: len(of)] <= radius)
+            if len(hit):
+                i, j, near = hit // len(r) + a, hit % len(r) + c, d.ravel()[hit]
+                if same:
+                    later = i < j
+                    i, j, near = i[later], j[later], near[later]
+                yield i, j, near
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size >= FLUSH:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _keys(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def near_pairs(keys: DataFrame, n: int, radius: int) -> DataFrame:
+    """(x, y, distance) of all pairs of rows (id, k) whose 64-bit keys k lie within the radius, each once."""
+
+    def run(same: bool, left: list[pa.Array], right: list[pa.Array]) -> Iterator[list]:
+        for i, j, d in _gathered(_near(_keys(left[1]), _keys(right[1]), radius, same)):
+            yield [left[0].take(pa.array(i)), right[0].take(pa.array(j)), pa.array(d.astype(np.int32))]
+
+    of = keys.schema["id"].dataType
+    packed = pack(keys, n, "id")
+    return cells(packed, n, packed, n, True).mapInArrow(_each(run, ["x", "y", "distance"]), StructType([StructField("x", of), StructField("y", of), StructField("distance", IntegerType())]))
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     lengths = pc.list_value_length(vectors)
     values = vectors.flatten()

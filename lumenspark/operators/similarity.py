@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
-from .blocks import best_scores
+from .blocks import best_scores, near_pairs
 
 
 def hex_halves(h: Column) -> tuple[Column, Column]:
@@ -22,26 +22,32 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(ok, F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("hashes must have 16 hex digits")).cast("int")))
 
 
+#: Rows of a block of hashes, at most; fewer where that gives all cores work.
+BLOCK = 1 << 16
+
+
+def hash_keys(h: Column) -> Column:
+    """A 64-bit hex hash as one long; null and empty hashes are null, other widths an error."""
+    high, low = hex_halves(h)
+    wrong = F.raise_error(F.lit("hashes must have 16 hex digits")).cast("long")
+    return F.when(F.length(h) == 16, F.shiftleft(high, 32).bitwiseOR(low)).when(h != "", wrong)
+
+
+def _dealt(rows: DataFrame) -> int:
+    """Into how many blocks the rows are dealt."""
+    n = rows.count()
+    return max(1, -(-n // BLOCK), min(10, -(-n // 2048)))
+
+
 def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, radius: int) -> DataFrame:
     """Pairs (a, b, distance), a < b, within ``radius`` bits; null and empty hashes have none.
 
-    Equal hashes are one key. By the pigeonhole principle two keys within the radius agree on one of
-    radius + 1 bands, so an equi-join on bands finds every pair; the smallest agreeing band emits it.
+    Blocks of hashes meet in cells, which are compared bit by bit. Radii of a quarter of the bits
+    leave every index more candidates than a join of rows can take.
     """
-    rows = df.where(F.col(hash_col).isNotNull() & (F.col(hash_col) != "")).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    bits = F.lpad(F.concat(*(F.lpad(F.conv(F.substr("h", F.lit(1 + 8 * i), F.lit(8)), 16, 2), 32, "0") for i in range(2))), 64, "0")
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    bands = F.array(*(F.substring(bits, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)))
-    keys = rows.select("h").distinct().withColumn("bands", bands)
-    exploded = keys.select("h", "bands", F.posexplode("bands").alias("band", "key"))
-    left, right = exploded.alias("l"), exploded.alias("r")
-    first = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) - 1
-    near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")) & (hamming(F.col("l.h"), F.col("r.h")) <= radius) & (first == F.col("l.band")))
-    near = near.select(F.col("l.h").alias("h1"), F.col("r.h").alias("h2")).withColumn("distance", hamming(F.col("h1"), F.col("h2")))
-    of = lambda c, i: rows.select(F.col("h").alias(c), F.col("id").alias(i))
-    different = near.join(of("h1", "x"), "h1").join(of("h2", "y"), "h2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    equal = rows.alias("p").join(rows.alias("q"), (F.col("p.h") == F.col("q.h")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.lit(0).alias("distance"))
-    return different.unionByName(equal)
+    keys = df.select(F.col(id_col).alias("id"), hash_keys(F.col(hash_col)).alias("k")).where("k is not null")
+    near = near_pairs(keys, _dealt(keys), radius)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").where("x <> y")
 
 
 def cluster_multi(df: DataFrame, id_col: str, hash_cols: list[str], radius: int) -> DataFrame:

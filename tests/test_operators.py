@@ -33,6 +33,21 @@ def test_clusters_link_by_any_hash(spark):
     assert got == {(1, 1): 0, (1, 2): 2, (1, 3): 2, (4, 4): 0, (4, 5): 1}
 
 
+def test_hamming_blocks_meet_once_and_find_every_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    keys = [rng.getrandbits(64) for _ in range(90)]
+    keys += [k ^ (1 << rng.randrange(64)) for k in keys[:20]] + [keys[0]] * 15
+    rows = [(i, f"{k:016x}".upper() if i % 3 else f"{k:016x}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "id long, h string").repartition(3)
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and (a ^ b).bit_count() <= 24}
+    for n in (1, 5):
+        monkeypatch.setattr(similarity, "_dealt", lambda df, n=n: n)
+        packed = blocks.pack(df, n, "id")
+        assert blocks.cells(packed, n, packed, n, True).count() == n * (n + 1) // 2
+        got = [tuple(r) for r in similarity.hamming_pairs(df, "id", "h", 24).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_width_mismatch_is_an_error(spark):
     with pytest.raises(Exception, match="16 hex"):
         spark.createDataFrame([("ff", "0" * 16)], "a string, b string").select(similarity.hamming(F.col("a"), F.col("b"))).collect()
