@@ -98,6 +98,40 @@ def near_pairs(keys: DataFrame, n: int, radius: int) -> DataFrame:
     return cells(packed, n, packed, n, True).mapInArrow(_each(run, ["x", "y", "distance"]), StructType([StructField("x", of), StructField("y", of), StructField("distance", IntegerType())]))
 
 
+def merged(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Component labels after the edges (u, v): each the smallest node, labels[x] <= x."""
+    while True:
+        a, b = labels[u], labels[v]
+        apart = a != b
+        if not apart.any():
+            return labels
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := labels[labels], labels):
+            labels = further
+
+
+def near_forest(keys: DataFrame, n: int, radius: int) -> DataFrame:
+    """(a, b): edges that connect what ``near_pairs`` connects, at most one for each row of a cell."""
+
+    def run(same: bool, left: list[pa.Array], right: list[pa.Array]) -> Iterator[list]:
+        a, b = _keys(left[1]), _keys(right[1])
+        both = np.concatenate([a] if same else [a, b])
+        distinct, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+        labels = first[inverse]  # equal keys are one node
+        a, at = np.unique(a, return_index=True)
+        b, bt = (a, at) if same else np.unique(b, return_index=True)
+        for i, j, _ in _gathered(_near(a, b, radius, same)):
+            labels = merged(labels, at[i], bt[j] + (0 if same else len(left[0])))
+        ids = left[0] if same else pa.concat_arrays([left[0], right[0]])
+        other = np.flatnonzero(labels != np.arange(len(labels)))
+        yield [ids.take(pa.array(other)), ids.take(pa.array(labels[other]))]
+
+    of = keys.schema["id"].dataType
+    packed = pack(keys, n, "id")
+    return cells(packed, n, packed, n, True).mapInArrow(_each(run, ["a", "b"]), StructType([StructField("a", of), StructField("b", of)]))
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     lengths = pc.list_value_length(vectors)
     values = vectors.flatten()

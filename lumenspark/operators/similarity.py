@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
-from .blocks import best_scores, near_pairs
+from .blocks import best_scores, near_forest, near_pairs
 
 
 def hex_halves(h: Column) -> tuple[Column, Column]:
@@ -55,16 +55,23 @@ def cluster_multi(df: DataFrame, id_col: str, hash_cols: list[str], radius: int)
 
     Two rows link when any of their hashes lies within the radius. The cluster's anchor is its
     smallest id; a member's distance is its best direct one to the anchor, else the radius. Clusters
-    of one row are left out.
+    of one row are left out. Every hash that is there must have 16 hex digits, linked or not.
+
+    Each cell's links are merged where they are found, so that at most one a row and cell leaves it.
     """
+    names = [f"k{i}" for i in range(len(hash_cols))]
+    rows = cut(df.select(F.col(id_col).alias("id"), *(hash_keys(F.col(h)).alias(k) for h, k in zip(hash_cols, names, strict=True))).where(F.col(id_col).isNotNull()))
     edges = None
-    for h in hash_cols:
-        e = hamming_pairs(df, id_col, h, radius)
+    for k in names:
+        keys = rows.where(F.col(k).isNotNull()).select("id", F.col(k).alias("k"))
+        e = near_forest(keys, _dealt(keys), radius)
         edges = e if edges is None else edges.unionByName(e)
-    edges = cut(edges.groupBy("a", "b").agg(F.min("distance").alias("distance")))
-    labels = connected(edges)
-    direct = edges.select(F.col("a").alias("cluster"), F.col("b").alias("id"), "distance")
-    out = labels.select(F.col("label").alias("cluster"), F.col("node").alias("id")).join(direct, ["cluster", "id"], "left")
+    labels = connected(cut(edges.where("a <> b")))
+    members = cut(labels.select(F.col("label").alias("cluster"), F.col("node").alias("id")).join(rows, "id"))
+    anchors = members.where("id = cluster").select("cluster", *(F.col(k).alias(f"a{k}") for k in names))
+    bits = [F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in names]
+    best = F.least(*bits) if len(bits) > 1 else bits[0]
+    out = members.join(anchors, "cluster").groupBy("cluster", "id").agg(F.min(F.when(best <= radius, best)).alias("distance"))
     anchor = F.col("id") == F.col("cluster")
     return out.select("cluster", "id", F.when(anchor, 0).otherwise(F.coalesce("distance", F.lit(radius))).alias("distance"), (anchor | F.col("distance").isNotNull()).alias("is_direct"))
 

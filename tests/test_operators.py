@@ -4,6 +4,7 @@ import json
 import random
 import struct
 import zlib
+from collections import Counter
 from datetime import date
 from functools import reduce
 
@@ -48,6 +49,30 @@ def test_hamming_blocks_meet_once_and_find_every_pair(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_clusters_match_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    some = [rng.getrandbits(64) for _ in range(25)]
+    near = lambda: rng.choice(some) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5)))
+    rows = [(i, near() if rng.random() < 0.5 else rng.getrandbits(64), None if rng.random() < 0.3 else near() if rng.random() < 0.3 else rng.getrandbits(64)) for i in range(70)]
+    rows += [(100 + i, some[0], None) for i in range(10)]
+    link = {}
+    for i, *x in rows:
+        for j, *y in rows:
+            d = min((a ^ b).bit_count() for a, b in zip(x, y, strict=True) if a is not None and b is not None)
+            if i < j and d <= 4:
+                link[i, j] = d
+    label = {i: i for i, *_ in rows}
+    for _ in rows:
+        for i, j in link:
+            label[i] = label[j] = min(label[i], label[j])
+    size = Counter(label.values())
+    want = {(c, i, 0 if i == c else link.get((c, i), 4), i == c or (c, i) in link) for i, c in label.items() if size[c] > 1}
+    df = spark.createDataFrame([(i, f"{a:016x}", None if b is None else f"{b:016x}") for i, a, b in rows], "id long, p string, d string")
+    monkeypatch.setattr(similarity, "_dealt", lambda df: 4)
+    got = [tuple(r) for r in similarity.cluster_multi(df, "id", ["p", "d"], 4).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_width_mismatch_is_an_error(spark):
     with pytest.raises(Exception, match="16 hex"):
         spark.createDataFrame([("ff", "0" * 16)], "a string, b string").select(similarity.hamming(F.col("a"), F.col("b"))).collect()
