@@ -73,6 +73,12 @@ def test_clusters_match_brute_force(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_each_hash_has_its_width_checked(spark):
+    df = spark.createDataFrame([(1, "0" * 16), (2, "ff")], "id int, h string")
+    with pytest.raises(Exception, match="16 hex"):
+        similarity.cluster_multi(df, "id", ["h"], 2).collect()
+
+
 def test_width_mismatch_is_an_error(spark):
     with pytest.raises(Exception, match="16 hex"):
         spark.createDataFrame([("ff", "0" * 16)], "a string, b string").select(similarity.hamming(F.col("a"), F.col("b"))).collect()
