@@ -126,6 +126,24 @@ def test_entity_scores_of_blocks_match_brute_force(spark):
     assert similarity.entity_scores(qs, rs.where("false")).count() == 0 and similarity.entity_scores(qs.where("false"), rs).count() == 0
 
 
+def _embeddings(spark, folder):
+    rng = random.Random(12)
+    some = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(12)]
+    rows = [(i, [x + rng.uniform(-0.4, 0.4) if i % 3 else x for x in rng.choice(some)], rng.randrange(8)) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+
+
+def test_pair_verdicts_of_a_table(spark, tmp_path):
+    keys = {i: sum((x >= 0) << b for b, x in enumerate(v)) for i, v, _ in _embeddings(spark, tmp_path)}
+    kind = lambda d: "identical pixels" if d == 0 else "near-identical" if d <= 12 else "similar"
+    want = {(i, j, kind(d)) for i, a in keys.items() for j, b in keys.items() if i < j and (d := (a ^ b).bit_count()) <= 18}
+    out = similarity.pair_verdicts(spark, str(tmp_path))
+    assert "posexplode" not in out._jdf.queryExecution().toString()  # no join on bands, whose rows are nearly all pairs
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and len({v for *_, v in want}) == 3
+
+
 def test_planner():
     assert {a.name for a in planner.select(planner.REGISTRY, "standard")} <= {a.name for a in planner.select(planner.REGISTRY, "deep")}
     assert all(a.cost == "cheap" for a in planner.select(planner.REGISTRY, "quick"))
