@@ -144,6 +144,22 @@ def test_pair_verdicts_of_a_table(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) and len({v for *_, v in want}) == 3
 
 
+def test_entity_top5_of_a_table(spark, tmp_path):
+    rows = _embeddings(spark, tmp_path)
+    out = similarity.entity_top5(spark, str(tmp_path))
+    assert "zip_with" not in out._jdf.queryExecution().toString()  # no row that holds a pair's vectors
+    want = set()
+    for q, v, _ in rows:
+        best = {}
+        for r, w, e in rows:
+            if q % 10 == 0 and r % 10:
+                best[e] = max(best.get(e, (-99.0, -1)), (reduce(lambda t, xy: t + xy[0] * xy[1], zip(v, w, strict=True), 0.0), r))
+        for rank, e in enumerate(sorted(best, key=best.get, reverse=True)[:5], 1):
+            want.add((q, rank, e, round(best[e][0], 4)))
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) == 40
+
+
 def test_planner():
     assert {a.name for a in planner.select(planner.REGISTRY, "standard")} <= {a.name for a in planner.select(planner.REGISTRY, "deep")}
     assert all(a.cost == "cheap" for a in planner.select(planner.REGISTRY, "quick"))
